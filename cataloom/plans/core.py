@@ -1,18 +1,12 @@
-"""Queries of the analytics operators over the driver's tables, and their SQL."""
+"""All queries of the analytics operators and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from cataloom.plans import pricing
 
-
-def segment_price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES = {"segment_price_table": segment_price_table}
+_PARTS = (pricing,)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {"segment_price_table": "SELECT p_type, count(*) AS n FROM part GROUP BY p_type"}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

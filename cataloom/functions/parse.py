@@ -193,10 +193,12 @@ def storage(details: Column, title: Column) -> dict[str, Column]:
     }
 
 
-def gpu(details: Column, title: Column) -> dict[str, Column]:
+def gpu(details: Column, title: Column, model: Column | None = None) -> dict[str, Column]:
+    """``model``: the column of an earlier projection that holds ``gpu_model`` already."""
     text = F.trim(F.concat_ws(" ", *[F.when(detail(details, k) != "", detail(details, k)) for k in ("Graphics Coprocessor", "Graphics Card Description", "Graphics Processor Manufacturer")]))
     title = F.coalesce(title, F.lit(""))
-    model = F.coalesce(templated(text, V.GPU_MODELS), templated(title, V.GPU_MODELS), F.lit("Unknown"))
+    if model is None:
+        model = F.coalesce(templated(text, V.GPU_MODELS), templated(title, V.GPU_MODELS), F.lit("Unknown"))
     everything = F.concat_ws(" ", text, title)
     chipset = F.lower(F.coalesce(detail(details, "Chipset Brand"), F.lit("")))
     by_chipset = None

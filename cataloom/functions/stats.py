@@ -18,6 +18,11 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != math.inf), c)
 
 
+def tidy(c: Column) -> Column:
+    """Six digits; exact halves, which means of rounded figures often are, go up on every engine."""
+    return F.floor(c * 1e6 + 0.5000001) / 1e6
+
+
 def price_block(price: Column) -> list[Column]:
     """n, n_total, coverage, reliable, mean, std, five quantiles, iqr, min and max of a column in a group."""
     p = finite(price)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions import parse
 from cataloom.functions.text import clean_text
+from cataloom.session import staged
 
 
 def with_reason(items: DataFrame) -> DataFrame:
@@ -27,23 +28,29 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def expand_specs(items: DataFrame) -> DataFrame:
-    """All parsers in one projection over title and details."""
+    """All parsers over title and details.
+
+    Written twice on the way: one projection of all ladders would exceed the size limit of a generated method, and later
+    expressions would carry the parsers inside them.
+    """
     d, t = F.col("details"), F.col("title")
     out = items.select(
         "*", parse.brand(F.col("store"), d, t).alias("brand"), parse.renewed(F.col("store"), d, t).alias("is_renewed"), parse.price(F.col("price")).alias("price_usd"),
-        *[c.alias(n) for part in (parse.cpu(d, t), parse.ram(d, t), parse.storage(d, t)) for n, c in part.items()],
-        F.coalesce(parse.detail(d, "Series"), parse.detail(d, "Model Name"), F.lit("")).alias("series_raw"),
+        F.coalesce(parse.detail(d, "Series"), parse.detail(d, "Model Name"), F.lit("")).alias("series_raw"), *[c.alias(n) for n, c in parse.cpu(d, t).items()],
     )
-    # a second projection keeps each one's generated code under the size limit of a method
-    out = out.select("*", *[c.alias(n) for part in (parse.gpu(d, t), parse.screen(d, t)) for n, c in part.items()], parse.os_family(d, t).alias("os_family"))
-    return out.withColumn("weight_lb", parse.weight(d, t, F.col("screen_in"))).drop("price").withColumnRenamed("price_usd", "price")
+    out = staged(out, "specs-1")
+    out = staged(out.select("*", *[c.alias(n) for part in (parse.ram(d, t), parse.storage(d, t), parse.screen(d, t)) for n, c in part.items()], parse.gpu(d, t)["gpu_model"].alias("gpu_model")), "specs-2")
+    gpu = parse.gpu(d, t, F.col("gpu_model"))
+    out = out.select("*", gpu["gpu_brand"].alias("gpu_brand"), gpu["is_discrete_gpu"].alias("is_discrete_gpu"), parse.os_family(d, t).alias("os_family"), parse.weight(d, t, F.col("screen_in")).alias("weight_lb"))
+    return out.drop("price").withColumnRenamed("price_usd", "price")
 
 
 def catalogue(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(products, variant map): filtered, parsed, variants collapsed, segmented. Oversize screens are dropped, unknown ones kept."""
     kept = with_reason(items).where("reason = '' AND parent_asin IS NOT NULL").withColumn("title", clean_text(F.col("title")))
     kept = first_per_key(kept.drop("reason"), ["parent_asin"], ["parent_asin", "title"])
-    parsed = expand_specs(kept).where(~F.coalesce(F.col("screen_in") >= 19, F.lit(False)))
+    # written once: otherwise every later expression would carry all parsers inside it
+    parsed = staged(expand_specs(kept).where(~F.coalesce(F.col("screen_in") >= 19, F.lit(False))), "catalogue-parsed")
     survivors, variants = collapse_variants(parsed)
     names = ("title", "brand", "series_raw", "os_family", "is_discrete_gpu", "gpu_model", "ram_gb", "cpu_family", "weight_lb", "screen_in", "price")
     return survivors.withColumn("segment", parse.segment({n: F.col(n) for n in names})), variants
@@ -56,7 +63,7 @@ def collapse_variants(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     names = ("screen_in", "cpu_family", "cpu_tier", "gpu_model", "is_discrete_gpu", "os_family", "is_renewed", "parent_asin")
     keyed = df.withColumn("model_sig", parse.model_signature(F.col("title"), F.col("brand")))
-    keyed = keyed.withColumn("dedup_key", parse.dedup_key({n: F.col(n) for n in (*names, "model_sig")}))
+    keyed = staged(keyed.withColumn("dedup_key", parse.dedup_key({n: F.col(n) for n in (*names, "model_sig")})), "variants")
     rich = sum((F.col(c).isNotNull().cast("int") for c in ("cpu_ghz", "ram_gb", "storage_gb", "screen_in", "weight_lb", "price")), F.lit(0))
     rank = F.struct(-F.coalesce("rating_number", F.lit(0)), -rich, "parent_asin")
     best = keyed.groupBy("dedup_key").agg(F.min_by("parent_asin", rank).alias("survivor"), F.count(F.lit(1)).alias("n_variants"))

@@ -159,7 +159,7 @@ def competitors(queries: DataFrame, catalogue: DataFrame, options: Options = Opt
 
 
 def rounded(found: DataFrame) -> DataFrame:
-    return found.select("query", "candidate", "segment", "brand", "affinity", *[F.round(c, 5).alias(c) for c in ("text_similarity", "spec_similarity", "price_ratio", "score")], "rank")
+    return found.select("query", "candidate", "segment", "brand", "affinity", *[F.round(c, 5).alias(c) for c in ("text_similarity", "spec_similarity", "price_ratio")], "score", "rank")
 
 
 def ablation_diff(guarded: DataFrame, unguarded: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cataloom.functions import vocabulary as V
+from cataloom.functions.stats import tidy
 
 # Fixed values.
 MAX_CLAUSES, MIN_CHARS, SNIPPET, BAND = 40, 6, 300, 0.20
@@ -168,7 +169,7 @@ def review_sentiment(reviews: DataFrame) -> DataFrame:
 def product_sentiment(scored: DataFrame, folded: DataFrame) -> DataFrame:
     """(parent_asin, n_reviews_scored, mean_rating, overall_polarity, overall_pos_share and per aspect mentions, polarity, pos_share)."""
     overall = scored.groupBy("parent_asin").agg(
-        F.count(F.lit(1)).alias("n_reviews_scored"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.avg("sent_polarity"), 6).alias("overall_polarity"),
+        F.count(F.lit(1)).alias("n_reviews_scored"), F.round(F.avg("rating"), 6).alias("mean_rating"), tidy(F.avg("sent_polarity")).alias("overall_polarity"),
         F.round(F.avg((F.col("sent_polarity") > 0).cast("int")), 6).alias("overall_pos_share"),
     )
     per = folded.groupBy("parent_asin").agg(
@@ -177,7 +178,7 @@ def product_sentiment(scored: DataFrame, folded: DataFrame) -> DataFrame:
             for a in V.ASPECTS
             for x in (
                 F.sum(F.when(F.col("aspect") == a, F.col("n")).otherwise(0)).alias(f"{a}_mentions"),
-                F.round(F.avg(F.when(F.col("aspect") == a, F.col("pol"))), 6).alias(f"{a}_polarity"),
+                tidy(F.avg(F.when(F.col("aspect") == a, F.col("pol")))).alias(f"{a}_polarity"),
                 F.round(F.avg(F.when(F.col("aspect") == a, (F.col("pol") > 0).cast("int"))), 6).alias(f"{a}_pos_share"),
             )
         ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cataloom.plans import pricing
+from cataloom.plans import catalogue, matching, opinions, pricing, retrieval
 
-_PARTS = (pricing,)
+_PARTS = (pricing, catalogue, matching, opinions, retrieval)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cataloom import schemas
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and malformed lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 

@@ -234,6 +234,30 @@ def train(features: list[np.ndarray], labels: np.ndarray, idf: np.ndarray, seed:
     return table
 
 
+def _fitted(listings: DataFrame, key: str, counts: np.ndarray, n: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """(table in half precision, centroids), trained in one task on at most TRAIN_ROWS listings drawn by hash; only the result returns to the driver."""
+    idf = np.log((1 + n) / (1 + counts))
+    sample = listings.orderBy(F.xxhash64(key)).limit(TRAIN_ROWS).select("code", "part", "ram", "storage", "features")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, rows = [], []
+        for batch in batches:
+            features += [np.asarray(f, np.int64) for f in batch.column(4).to_pylist()]
+            rows.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1))
+        labels = np.zeros(0, np.int64)
+        if features:
+            code, part, ram, storage = np.concatenate(rows).T
+            labels = np.unique(np.stack([np.where(code != 0, code, part), ram, storage], axis=1), axis=0, return_inverse=True)[1].ravel()
+        table = train(features, labels, idf).astype("<f2")
+        centres = fit_centroids(encode(features, table), lists)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([centres.astype("<f4").tobytes()])], names=["table", "centres"])
+
+    row = sample.coalesce(1).mapInArrow(fit, "table binary, centres binary").first()
+    if row is None:
+        return np.zeros((FEATURES, WIDTH), "<f2"), np.zeros((1, WIDTH), "<f4")
+    return np.frombuffer(row["table"], "<f2").reshape(FEATURES, WIDTH), np.frombuffer(row["centres"], "<f4").reshape(-1, WIDTH)
+
+
 # ---------------------------------------------------------------- search
 
 
@@ -297,18 +321,12 @@ class SameProduct:
         listings = staged(rows.mapInArrow(read, schema), "listings-evidence")
         listings = listings.where("ram > 0 AND storage > 0 AND (code <> 0 OR part <> 0)")
         n = listings.count()
+        frequency = listings.select(F.explode("features").alias("f")).groupBy("f").count().toPandas()  # at most FEATURES rows
         counts = np.zeros(FEATURES, np.int64)
-        for r in listings.select(F.explode("features").alias("f")).groupBy("f").count().collect():  # at most FEATURES rows
-            counts[r["f"]] = r["count"]
-        idf = np.log((1 + n) / (1 + counts))
-        sample = listings.orderBy(F.xxhash64(key)).limit(TRAIN_ROWS).select(*_COLUMNS, "features").toPandas()
-        features = [np.asarray(f, np.int64) for f in sample["features"]]
-        named = np.where(sample["code"] != 0, sample["code"], sample["part"]).astype(np.int64) if len(sample) else np.zeros(0, np.int64)
-        labels = np.unique(np.stack([named, sample["ram"].to_numpy(np.int64), sample["storage"].to_numpy(np.int64)], 1), axis=0, return_inverse=True)[1].ravel() if len(sample) else named
-        table = train(features, labels, idf)
+        counts[frequency["f"].to_numpy()] = frequency["count"].to_numpy()
         lists = int(min(MAX_LISTS, max(1, round(n / LIST_AIM))))
-        centres = fit_centroids(encode(features, table), lists)
-        model = spark.sparkContext.broadcast((table.astype(np.float16), centres))
+        table, centres = _fitted(listings, key, counts, n, lists)
+        model = spark.sparkContext.broadcast((table, centres))
         most = min(32, max(1, len(centres)))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

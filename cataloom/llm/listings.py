@@ -5,7 +5,7 @@
 2. Subwords of title, maker and sizes are hashed to ``FEATURES`` rows of an embedding table. The table is weighted by inverse document frequency over
    all listings and trained by in-batch contrastive loss, on a sample of at most ``TRAIN_ROWS`` listings (a documented bound), whose positives
    are pairs that name the same code or part number in other words.
-3. Every listing is encoded and stored in the inverted list of its nearest centroid; it is searched for in its ``probes`` nearest lists. The number of probes is
+3. Every listing is encoded and stored in the inverted list of its nearest centroid, within the stratum of its memory and storage; it is searched for in its ``probes`` nearest lists there. The number of probes is
    tuned: exact neighbours of a sample of queries over all rows must be found to ``TUNED_RECALL``.
 4. Candidates above the similarity threshold are vetoed when a number differs: memory, storage, code, or part number where no code is shared; or when makers differ.
 5. Two listings are linked when each finds the other; linked listings form groups by connected components.
@@ -16,7 +16,7 @@ Defined cases: a null title is read as empty (columns alone give no code, so it
 vetoes nothing; a null key is left out; of a key that repeats, the latest row counts; very long titles are read whole; equal listings are
 linked like others; an empty table gives no rows; extra columns aren't read.
 
-Scale: encoding is a map; the table (4 MB in half precision) and the centroids are fixed-size broadcasts. Search shuffles ``probes + 1`` vectors a listing.
+Scale: encoding is a map; the table (8 MB in half precision) and the centroids are fixed-size broadcasts. Search shuffles ``probes + 1`` vectors a listing.
 A list larger than ``LIST_ROWS`` is split into a grid of blocks, so a hot cell becomes many tasks. Vetoes act inside the search, before anything is emitted.
 """
 
@@ -38,11 +38,14 @@ from cataloom.llm.hnsw import fit_centroids
 from cataloom.operators.components import components
 from cataloom.session import latest, staged
 
-FEATURES, WIDTH = 1 << 15, 64
+#: Rows of the embedding table: the first WORD_ROWS for words, makers and sizes, the others for codes and part numbers.
+FEATURES, WORD_ROWS, WIDTH = 1 << 16, 1 << 14, 64
+#: Weight at the start of training: a listing's identity lies in its codes, not in its many other words.
+WORD_WEIGHT, CODE_WEIGHT = 0.5, 2.0
 TRAIN_ROWS, STEPS, BATCH, RATE, TEMPERATURE = 12_000, 80, 384, 0.3, 0.1
 LIST_AIM, LIST_ROWS, MAX_LISTS = 1500, 4000, 4096
 TUNED_RECALL, TUNE_QUERIES, SPARE_PROBES = 0.9995, 1000, 2
-SIMILARITY = 0.1
+SIMILARITY = 0.35
 
 # ---------------------------------------------------------------- evidence
 
@@ -174,18 +177,21 @@ def evidence(title: str | None, brand: str | None, ram: float | None, storage: f
 
 def subwords(words: list[str], maker: int, code: str, part: str, ram: int, storage: int) -> np.ndarray:
     """Hashed features: words, 3-grams of words with digits, maker, sizes, and codes in folded form with their 3- to 5-grams."""
-    found = [f"w{w}" for w in words]
+    common = [f"w{w}" for w in words]
     for w in words:
         if len(w) > 4:
-            found += [f"g{w[i : i + 4]}" for i in range(len(w) - 3)]
+            common += [f"g{w[i : i + 4]}" for i in range(len(w) - 3)]
+    if maker >= 0:
+        common.append(f"m{maker}")
+    common += [f"r{ram}", f"s{storage}", f"rs{ram}/{storage}"]
+    rare = []
     for kind, name in (("c", code), ("p", part)):
         if name:
-            found.append(f"{kind}={name}")
-            found += [f"{kind}{name[i : i + n]}" for n in (4, 5) for i in range(len(name) - n + 1)]
-    if maker >= 0:
-        found.append(f"m{maker}")
-    found += [f"r{ram}", f"s{storage}", f"rs{ram}/{storage}"]
-    return np.fromiter({xxhash.xxh32_intdigest(f.encode()) % FEATURES for f in found}, np.int64)
+            rare.append(f"{kind}={name}")
+            rare += [f"{kind}{name[i : i + n]}" for n in (4, 5) for i in range(len(name) - n + 1)]
+    ids = {xxhash.xxh32_intdigest(f.encode()) % WORD_ROWS for f in common}
+    ids |= {WORD_ROWS + xxhash.xxh32_intdigest(f.encode()) % (FEATURES - WORD_ROWS) for f in rare}
+    return np.fromiter(ids, np.int64)
 
 
 def encode(features: list[np.ndarray], table: np.ndarray) -> np.ndarray:
@@ -200,7 +206,8 @@ def encode(features: list[np.ndarray], table: np.ndarray) -> np.ndarray:
 def train(features: list[np.ndarray], labels: np.ndarray, idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """The embedding table after contrastive training: rows with one label attract each other, all others of a batch repel."""
     rng = np.random.default_rng(seed)
-    table = (rng.standard_normal((FEATURES, WIDTH)) / math.sqrt(WIDTH)).astype(np.float32) * idf[:, None].astype(np.float32)
+    weight = idf * np.where(np.arange(FEATURES) < WORD_ROWS, WORD_WEIGHT, CODE_WEIGHT)
+    table = (rng.standard_normal((FEATURES, WIDTH)) / math.sqrt(WIDTH)).astype(np.float32) * weight[:, None].astype(np.float32)
     order = np.argsort(labels, kind="stable")
     order = order[labels[order] >= 0]
     edge = np.flatnonzero(np.r_[True, np.diff(labels[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
@@ -261,10 +268,10 @@ def _fitted(listings: DataFrame, key: str, counts: np.ndarray, n: int, lists: in
 # ---------------------------------------------------------------- search
 
 
-def compatible(left: dict[str, np.ndarray], right: dict[str, np.ndarray]) -> np.ndarray:
-    """Matrix of pairs that no veto hits."""
-    a = {c: v[:, None] for c, v in left.items()}
-    b = {c: v[None, :] for c, v in right.items()}
+def compatible(left: dict[str, np.ndarray], i: np.ndarray, right: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (left[i], right[j]) no veto hits."""
+    a = {c: v[i] for c, v in left.items()}
+    b = {c: v[j] for c, v in right.items()}
     ok = (a["ram"] == b["ram"]) & (a["storage"] == b["storage"])
     ok &= (a["maker"] == b["maker"]) | (a["maker"] < 0) | (b["maker"] < 0)
     coded = (a["code"] != 0) & (b["code"] != 0)
@@ -324,7 +331,9 @@ class SameProduct:
         frequency = listings.select(F.explode("features").alias("f")).groupBy("f").count().toPandas()  # at most FEATURES rows
         counts = np.zeros(FEATURES, np.int64)
         counts[frequency["f"].to_numpy()] = frequency["count"].to_numpy()
-        lists = int(min(MAX_LISTS, max(1, round(n / LIST_AIM))))
+        # listings of other memory or storage are vetoed anyway: lists lie within strata of equal sizes, and the largest sets their number
+        largest = listings.groupBy("ram", "storage").count().agg(F.max("count")).first()[0] or 0
+        lists = int(min(MAX_LISTS, max(1, round(largest / LIST_AIM))))
         table, centres = _fitted(listings, key, counts, n, lists)
         model = spark.sparkContext.broadcast((table, centres))
         most = min(32, max(1, len(centres)))
@@ -357,10 +366,9 @@ class SameProduct:
             for whole in batches:
                 for start in range(0, len(whole), 2000):
                     pdf = whole.iloc[start : start + 2000]
-                    ok = q @ _vectors(pdf["v"]).T >= SIMILARITY
-                    ok &= compatible(veto, {c: pdf[c].to_numpy(np.int64) for c in _COLUMNS})
-                    ok &= keys[:, None] != pdf[key].to_numpy()[None, :]
-                    i, j = np.nonzero(ok)
+                    i, j = np.nonzero(q @ _vectors(pdf["v"]).T >= SIMILARITY)
+                    ok = compatible(veto, i, {c: pdf[c].to_numpy(np.int64) for c in _COLUMNS}, j) & (keys[i] != pdf[key].to_numpy()[j])
+                    i, j = i[ok], j[ok]
                     own = np.stack(pdf["lists"])
                     # mutual neighbours: the later of the two ranks counts
                     there, back = lists[i] == own[j, :1], own[j] == lists[i, :1]
@@ -380,20 +388,21 @@ class SameProduct:
         key = self.key
         kind = placed.schema[key].dataType.simpleString()
         home = F.col("lists")[0]
-        sizes = placed.groupBy(home.alias("list")).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("stored_blocks"))
-        asks = placed.select(F.explode(F.slice("lists", 1, probes)).alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / (4 * LIST_ROWS)).cast("int").alias("asked_blocks"))
-        grid = F.broadcast(sizes.join(asks, "list"))  # a row per list, MAX_LISTS at most
+        cell = ["ram", "storage", "list"]
+        sizes = placed.withColumn("list", home).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("stored_blocks"))
+        asks = placed.withColumn("list", F.explode(F.slice("lists", 1, probes))).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / (4 * LIST_ROWS)).cast("int").alias("asked_blocks"))
+        grid = sizes.join(asks, cell)  # a row per list; the planner broadcasts it while it is small
         columns = [key, *_COLUMNS, "v"]
         # a list is a grid of stored by asking blocks
         stored = (
             placed.withColumn("list", home)
-            .join(grid, "list")
+            .join(grid, cell)
             .withColumn("i", F.pmod(F.xxhash64(key), F.col("stored_blocks")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asked_blocks") - 1)))
         )
         asked = (
             placed.withColumn("list", F.explode(F.slice("lists", 1, probes)))
-            .join(grid, "list")
+            .join(grid, cell)
             .withColumn("j", F.pmod(F.xxhash64(key), F.col("asked_blocks")).cast("int"))
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1)))
         )
@@ -406,15 +415,14 @@ class SameProduct:
             a, b = [], []
             for k in range(0, len(q), 1024):
                 part = q.iloc[k : k + 1024]
-                ok = _vectors(part["v"]) @ x.T >= SIMILARITY
-                ok &= compatible({c: part[c].to_numpy(np.int64) for c in _COLUMNS}, veto)
-                i, j = np.nonzero(ok)
-                a.append(own[k + i])
-                b.append(keys[j])
+                i, j = np.nonzero(_vectors(part["v"]) @ x.T >= SIMILARITY)
+                ok = compatible({c: part[c].to_numpy(np.int64) for c in _COLUMNS}, i, veto, j)
+                a.append(own[k + i[ok]])
+                b.append(keys[j[ok]])
             out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []})
             return out[out["a"] != out["b"]]
 
-        found = both.groupBy("list", "i", "j").applyInPandas(scan, f"a {kind}, b {kind}")
+        found = both.groupBy(*cell, "i", "j").applyInPandas(scan, f"a {kind}, b {kind}")
         # mutual neighbours: each of the two finds the other
         low, high = F.least("a", "b"), F.greatest("a", "b")
         sides = found.groupBy(low.alias("x"), high.alias("y")).agg(F.max(F.col("a") < F.col("b")).alias("up"), F.max(F.col("a") > F.col("b")).alias("down"))

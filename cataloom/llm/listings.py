@@ -243,7 +243,7 @@ def train(features: list[np.ndarray], labels: np.ndarray, idf: np.ndarray, seed:
 
 def _fitted(listings: DataFrame, key: str, counts: np.ndarray, n: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
     """(table in half precision, centroids), trained in one task on at most TRAIN_ROWS listings drawn by hash; only the result returns to the driver."""
-    idf = np.log((1 + n) / (1 + counts))
+    idf = np.log((1000 + n) / (1 + counts))  # smoothed, so that in a small collection a shared code isn't a common word
     sample = listings.orderBy(F.xxhash64(key)).limit(TRAIN_ROWS).select("code", "part", "ram", "storage", "features")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

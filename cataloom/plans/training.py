@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +32,26 @@ def _comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What ``fills`` and the SQL have in common."""
+
+    column: str
+    kind: str
+    levels: list[tuple[str, ...]]
+    min_support: int = 5
+
+
+PLANS = (
+    Plan("price", "median", [("k_maker", "k_cpu", "k_ram"), ("k_segment", "k_cpu", "k_ram"), ("k_segment", "k_ram", "k_month"), ("k_segment", "k_ram"), ("k_segment",), ("k_month",), ()]),
+    Plan("segment", "mode", [("k_maker", "k_cpu", "k_ram"), ("k_cpu", "k_ram"), ("k_cpu",), ("k_maker",), ()]),
+    Plan("brand", "mode", [("k_store",), ("k_segment", "k_cpu", "k_ram"), ("k_segment", "k_ram"), ("k_segment",), ()]),
+)
+
+
 def fills() -> list[Fill]:
-    price = known_number(F.col("raw_price"))
-    segment = folded(known_text(F.col("raw_segment")))
-    brand = known_text(F.trim("raw_brand"))
-    return [
-        Fill("price", price, [("k_maker", "k_cpu", "k_ram"), ("k_segment", "k_cpu", "k_ram"), ("k_segment", "k_ram", "k_month"), ("k_segment", "k_ram"), ("k_segment",), ("k_month",), ()], "median", 5),
-        Fill("segment", segment, [("k_maker", "k_cpu", "k_ram"), ("k_cpu", "k_ram"), ("k_cpu",), ("k_maker",), ()], "mode", 5),
-        Fill("brand", brand, [("k_store",), ("k_segment", "k_cpu", "k_ram"), ("k_segment", "k_ram"), ("k_segment",), ()], "mode", 5),
-    ]
+    known = {"price": known_number(F.col("raw_price")), "segment": folded(known_text(F.col("raw_segment"))), "brand": known_text(F.trim("raw_brand"))}
+    return [Fill(p.column, known[p.column], p.levels, p.kind, p.min_support) for p in PLANS]
 
 
 def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +91,7 @@ base AS (SELECT parent_asin,
   FROM one WHERE rn = 1)"""
 
 
-def _level_sql(f: Fill, at: int) -> str:
+def _level_sql(f: Plan, at: int) -> str:
     keys = ", ".join(f.levels[at]) or "1"
     stat = f"quantile_cont({f.column}, 0.5)" if f.kind == "median" else "v"
     if f.kind == "median":
@@ -92,7 +105,7 @@ def _level_sql(f: Fill, at: int) -> str:
 
 def _filled_sql() -> str:
     parts, columns, joins = [], ["base.parent_asin"], []
-    for f in fills():
+    for f in PLANS:
         stats, levels = [], []
         for i, keys in enumerate(f.levels):
             name = f"{f.column}_{i}"

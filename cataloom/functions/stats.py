@@ -111,3 +111,9 @@ def correlation_p(r: float, n: int) -> float:
         return 0.0 if n >= 3 else math.nan
     t2 = r * r * (n - 2) / (1 - r * r)
     return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+def marker_size(value: Column, low: Column, high: Column, least: float = 6.0, most: float = 30.0) -> Column:
+    """A mark's size on a log scale between the least and the greatest value; the least size where the span is empty."""
+    share = F.try_divide(F.log1p(value) - F.log1p(low), F.log1p(high) - F.log1p(low))
+    return least + (most - least) * F.coalesce(share, F.lit(0.0))

@@ -45,3 +45,9 @@ def clean_text_full(df: DataFrame, column: str) -> DataFrame:
     plain = df.where(~c.contains("&")).withColumn(column, strip_markup(c))
     coded = df.where(c.contains("&")).withColumn(column, strip_markup(unescape(c)))
     return plain.unionByName(coded)
+
+
+def shortened(text: Column, limit: int) -> Column:
+    """For display: white space collapsed, cut at a word with an ellipsis."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(t) > limit, F.concat(F.regexp_replace(F.substring(t, 1, limit), r"\s+\S*$", ""), F.lit("…"))).otherwise(t)

@@ -301,14 +301,14 @@ def relaxation_ladder(df: DataFrame, spec: Spec, k: int = 6) -> DataFrame:
 
 
 def search(df: DataFrame, scores: DataFrame, spec: Spec, k: int = 6) -> DataFrame:
-    """The k listings for a question, with score, relaxation, ordering and number of candidates. ``scores``: (parent_asin, lexical, dense), either may be null.
+    """The k listings for a question, with score, relaxation, ordering and number of candidates. ``scores``: (parent_asin, lexical, dense); without a dense score the lexical one stands for both.
 
     A superlative orders the whole filtered set; at most two of a brand, unless that leaves fewer than k.
     """
     chosen = relaxation_ladder(df, spec, k).where("chosen").first()
     condition = {"all constraints": constraint(spec), "price constraint dropped": constraint(spec, use_price=False)}.get(chosen["label"], F.lit(True))
     rows = priors(df).where(condition).join(scores, "parent_asin", "left")
-    score = DENSE * F.coalesce("dense", F.lit(0.0)) + (1 - DENSE) * F.coalesce("lexical", F.lit(0.0)) + F.col("prior")
+    score = DENSE * F.coalesce("dense", "lexical", F.lit(0.0)) + (1 - DENSE) * F.coalesce("lexical", F.lit(0.0)) + F.col("prior")
     rows = rows.withColumn("score", F.round(score, 6))
     ordering, keys = "relevance", [F.desc("score"), F.asc("parent_asin")]
     if spec.sort_by:
@@ -332,7 +332,7 @@ def resolve(df: DataFrame, scores: DataFrame, spec: Spec, floor: float = FLOOR)
     if spec.segments:
         fit = rows.where(F.col("segment").isin(*spec.segments))
         rows = rows if fit.isEmpty() else fit
-    score = DENSE * F.coalesce("dense", F.lit(0.0)) + (1 - DENSE) * F.coalesce("lexical", F.lit(0.0)) + F.col("prior")
+    score = DENSE * F.coalesce("dense", "lexical", F.lit(0.0)) + (1 - DENSE) * F.coalesce("lexical", F.lit(0.0)) + F.col("prior")
     return rows.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "parent_asin").limit(1).where(F.col("score") >= floor)
 
 
@@ -370,3 +370,80 @@ def market_stats(segments: DataFrame, premium: DataFrame, brands: DataFrame, spe
         parts = parts.unionByName(b.select(F.lit(2).alias("part"), F.col("brand").alias("name"), stat_line("Brand", "brand").alias("line")))
     ordered = parts.orderBy("part", "name").limit(limit)
     return ordered.select(F.row_number().over(W.orderBy("part", "name")).alias("position"), "line")
+
+
+# ---------------------------------------------------------------- dispatch by question type
+
+
+def union_first(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """Union of frames with one row per key: that of the earliest frame."""
+    rows = None
+    for i, f in enumerate(frames):
+        one = f.withColumn("_part", F.lit(i))
+        rows = one if rows is None else rows.unionByName(one)
+    kept = rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct("_part", F.xxhash64(*rows.columns))).alias("_r"))
+    return kept.select("_r.*").drop("_part")
+
+
+def market_examples(df: DataFrame, scores: DataFrame, segments: Sequence[str] = (), k: int = 2) -> DataFrame:
+    """The k best listings of each segment."""
+    rows = priors(df).join(scores, "parent_asin", "left")
+    if segments:
+        rows = rows.where(F.col("segment").isin(*segments))
+    score = DENSE * F.coalesce("dense", "lexical", F.lit(0.0)) + (1 - DENSE) * F.coalesce("lexical", F.lit(0.0)) + F.col("prior")
+    rank = F.row_number().over(W.partitionBy("segment").orderBy(F.desc("score"), "parent_asin"))  # a group limit acts before the shuffle
+    return rows.withColumn("score", F.round(score, 6)).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def comparison(df: DataFrame, score_of, spec: Spec, k: int = 2) -> DataFrame:
+    """One listing per side of a comparison, filled up to ``k`` by search. ``score_of``: text to (parent_asin, lexical, dense)."""
+    sides = comparison_sides(spec.question) or [spec.question]
+    known = [b for b in spec.brands]
+    found = []
+    for side in sides:
+        own = tuple(b for b in known if re.search(rf"\b{re.escape(b)}\b", side, re.I))
+        found.append(resolve(df, score_of(side), Spec(side, "product_lookup", brands=own, segments=spec.segments)).drop("prior"))
+    fill = search(df, score_of(spec.question), spec, k + len(found)).drop("rank", "relaxation", "ordering", "n_candidates", "prior")
+    rows = union_first([f.select("parent_asin", "brand", "segment", "price", "score").withColumn("turn", F.lit(i)) for i, f in enumerate([*found, fill])], "parent_asin")
+    return rows.orderBy("turn", F.desc("score"), "parent_asin").limit(max(k, len(found)))
+
+
+def rivals(df: DataFrame, features: DataFrame, scores: DataFrame, spec: Spec, k: int = 5) -> DataFrame:
+    """The listing asked about (role anchor) and its k competitors, two of a brand at most."""
+    from cataloom.operators import matching
+
+    anchor = resolve(df, scores, spec).select("parent_asin")
+    found = matching.competitors(features.join(anchor, "parent_asin", "left_semi"), features, matching.Options(k=k, per_brand=PER_BRAND))
+    first = anchor.select("parent_asin", F.lit("anchor").alias("role"), F.lit(0).alias("rank"))
+    return union_first([first, found.select(F.col("candidate").alias("parent_asin"), F.lit("competitor").alias("role"), "rank")], "parent_asin")
+
+
+def notes(spec: Spec, relaxation: str, ordering: str) -> list[str]:
+    """Caveats that an answer has to state."""
+    out = []
+    if relaxation != "all constraints":
+        out.append(f"Constraints were relaxed: {relaxation}.")
+    if ordering != "relevance":
+        out.append(f"Listings are {ordering}.")
+    if spec.price_min is not None or spec.price_max is not None:
+        out.append("Only listings with a known price were considered.")
+    return out
+
+
+def retrieve(df: DataFrame, features: DataFrame, score_of, spec: Spec, k: int = 6) -> tuple[DataFrame, list[str]]:
+    """(listings, caveats) by the plan that the question's type asks for."""
+    scores = score_of(spec.question)
+    if spec.question_type == "spec_compare":
+        return comparison(df, score_of, spec), []
+    if spec.question_type == "competitor":
+        return rivals(df, features, scores, spec), []
+    if spec.question_type == "market":
+        return market_examples(df, scores, spec.segments), []
+    found = search(df, scores, spec, k)
+    first = found.select("relaxation", "ordering").first()
+    return found, notes(spec, *first) if first else []
+
+
+def evidence_counts(evidence: DataFrame) -> DataFrame:
+    """Blocks by kind."""
+    return evidence.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -143,7 +143,7 @@ def _lexical(text: str) -> str:
 
 _PRIOR = f"""{SENT}, mk AS (SELECT c.*, s.parent_asin IS NOT NULL AS has_sentiment FROM cat c LEFT JOIN sent s USING (parent_asin)),
   pri AS (SELECT *, 0.07 * coalesce(ln(1 + rating_number) / nullif((SELECT max(ln(1 + rating_number)) FROM cat), 0), 0) + 0.03 * CASE WHEN rating_number >= 20 THEN greatest(0, least(1, (coalesce(average_rating, 3) - 3) / 2)) ELSE 0 END + 0.06 * CAST(has_sentiment AS INT) AS prior FROM mk)"""
-_SCORED = "sc AS (SELECT p.*, round(0.38 * coalesce(lexical, 0) + prior, 6) AS score FROM pri p LEFT JOIN lex USING (parent_asin))"
+_SCORED = "sc AS (SELECT p.*, round(0.62 * coalesce(lexical, 0) + (1 - 0.62) * coalesce(lexical, 0) + prior, 6) AS score FROM pri p LEFT JOIN lex USING (parent_asin))"
 _C2 = "segment IN ('ultrabook') AND ram_gb >= 16"
 
 
@@ -178,3 +178,30 @@ ORACLES = {
       SELECT CAST(row_number() OVER (ORDER BY over, score DESC, parent_asin) AS INTEGER) AS rank, parent_asin, brand, score, relaxation, n_candidates FROM o QUALIFY rank <= 6""",
     "entity_resolution": f"{_INDEX}, {_lexical('Kestova Yarteta')}, {_PRIOR}, {_SCORED} SELECT parent_asin, brand, score FROM sc WHERE brand = 'Kestova' AND score >= 0.2 ORDER BY score DESC, parent_asin LIMIT 1",
 }
+
+
+def market_examples(spark, d):
+    """Two listings of each segment for a market question."""
+    return retrieval.market_examples(marked(spark, d), _scores(spark, d, QUERY)).select("segment", "rank", "parent_asin", "score")
+
+
+def comparison_retrieval(spark, d):
+    spec = _spec(0)
+    index = _index(spark, d)
+    score_of = lambda text: retrieval.lexical_scores(index, "parent_asin", text, spark).withColumn("dense", F.lit(None).cast("double"))
+    return retrieval.retrieve(marked(spark, d), None, score_of, spec)[0]
+
+
+def rival_retrieval(spark, d):
+    """The listing that a competitor question names and its rivals."""
+    from cataloom.operators import matching
+
+    cat = catalog.products(spark, d)
+    feats = staged(matching.features(cat, catalog.vectors(spark, d)), "rival-features")
+    spec = retrieval.Spec("kestova laptop rivals", "competitor", brands=("Kestova",))
+    have = marked(spark, d).join(feats.select("parent_asin"), "parent_asin", "left_semi")
+    return retrieval.rivals(have, feats, _scores(spark, d, "kestova laptop"), spec)
+
+
+QUERIES |= {f.__name__: f for f in (market_examples, comparison_retrieval, rival_retrieval)}
+ORACLES["market_examples"] = f"""{_INDEX}, {_lexical(QUERY)}, {_PRIOR}, {_SCORED} SELECT segment, CAST(row_number() OVER (PARTITION BY segment ORDER BY score DESC, parent_asin) AS INTEGER) AS rank, parent_asin, score FROM sc QUALIFY rank <= 2"""

@@ -326,3 +326,22 @@ def test_entry(spark, data):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_display_helpers(spark):
+    from cataloom.functions.text import shortened
+
+    df = spark.createDataFrame([("some  long words here", 9.0)], "t string, v double")
+    r = df.select(shortened(F.col("t"), 12), stats.marker_size(F.col("v"), F.lit(0.0), F.lit(9.0)), stats.marker_size(F.col("v"), F.lit(9.0), F.lit(9.0)), search.ruler(F.col("v"), F.lit(10.0), F.lit(20.0))).first()
+    assert tuple(r) == ("some long…", 30.0, 6.0, 0.0)
+
+
+def test_union_first(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(1, "y"), (2, "z")], "k int, v string")
+    assert rows(retrieval.union_first([a, b], "k")) == [(1, "x"), (2, "z")]
+
+
+def test_notes():
+    s = retrieval.parse_question("cheapest laptop under $900", [])
+    assert len(retrieval.notes(s, "no constraints", "sorted by lowest price")) == 3
+    assert retrieval.notes(retrieval.Spec("q", "recommend"), "all constraints", "relevance") == []

@@ -20,6 +20,7 @@ from cataloom.functions import vocabulary as V
 FEATURES = (("cpu_tier", 1.0, "linear", 3.0, 9.0), ("ram_gb", 1.0, "log2", 2.0, 64.0), ("storage_gb", 0.8, "log2", 16.0, 4096.0), ("screen_in", 0.7, "linear", 10.0, 18.0), ("is_discrete_gpu", 1.0, "linear", 0.0, 1.0), ("price", 1.2, "log10", 80.0, 5000.0))
 MISSING_DISTANCE, MISSING_WEIGHT = 0.45, 0.5
 LAST_PRICE, MIN_GROUP = 500.0, 3
+QUERY_BLOCK = 4000
 
 
 @dataclass(frozen=True)
@@ -114,8 +115,13 @@ def competitors(queries: DataFrame, catalogue: DataFrame, options: Options = Opt
         q = q.join(F.broadcast(kept), q["q_segment"] == kept["seg_q"]).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))  # 36 rows
         pairs = q.join(c.withColumn("c_bucket", F.floor(F.log("c_estimate") / width)), (F.col("seg_c") == F.col("c_segment")) & (F.col("bucket") == F.col("c_bucket")))
     else:
-        # a stated query set against all rows
-        pairs = c.join(F.broadcast(q.limit(10_000)), F.lit(True)).join(F.broadcast(near), (F.col("q_segment") == F.col("seg_q")) & (F.col("c_segment") == F.col("seg_c")), "left")
+        # a stated query set against all rows, in blocks of a bounded number of queries
+        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+        pairs = None
+        for i in range(blocks):
+            block = q.where(F.pmod(F.xxhash64("q_parent_asin"), F.lit(blocks)) == i)
+            met = c.join(F.broadcast(block), F.lit(True)).join(F.broadcast(near), (F.col("q_segment") == F.col("seg_q")) & (F.col("c_segment") == F.col("seg_c")), "left")
+            pairs = met if pairs is None else pairs.unionByName(met)
         pairs = pairs.withColumn("affinity", F.coalesce("affinity", F.lit(0.5)))
     keep = F.col("q_parent_asin") != F.col("c_parent_asin")
     if o.exclude_same_model:

@@ -2,7 +2,8 @@
 
 * Vectors are normalised; those of another length, all zero, null or not finite are not usable and take no part.
 * Coarse centroids, fitted on a bounded sample, route vectors to shards: each vector is stored in the shard of its nearest centroid and
-  searched for in the shards of its ``probes`` nearest ones. A shard with more than ``shard_rows`` vectors (a dense category) is
+  searched for in the shards of its ``probes`` nearest ones. Their number is tuned at every size, up to all: of the exact neighbours of a sample
+  of queries, searched for in all rows, ``TUNED_RECALL`` must lie in the cells probed. A shard with more than ``shard_rows`` vectors (a dense category) is
   split by hash into shards of that size, each of which is searched.
 * Each shard builds a hierarchical small-world graph: per level one int32 array of neighbours, row after row. Vectors are inserted and
   queries are answered in batches that walk the graph in lock step, so that the work is matrix arithmetic, not Python steps.
@@ -34,7 +35,8 @@ SHARD_ROWS = 6000
 CENTROID_ROWS = 2000  # vectors per centroid aimed at
 MAX_CENTROIDS = 4096
 SAMPLE_ROWS = 16_384  # fitted on at most so many vectors
-PROBES = 3
+PROBES = 3  # at least
+TUNED_RECALL, TUNE_QUERIES = 0.999, 1000
 DEGREE, EF_BUILD, EF_SEARCH, WAVE = 16, 64, 64, 4
 
 
@@ -241,8 +243,50 @@ def fit_centroids(x: np.ndarray, count: int, rounds: int = 8, seed: int = 3) ->
     return centres
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, probes: int = PROBES, shard_rows: int = SHARD_ROWS, queries: DataFrame | None = None) -> DataFrame:
-    """(key, neighbour, similarity, rank) of each usable vector, or of those whose keys ``queries`` holds."""
+def tuned_probes(vectors: DataFrame, asked: DataFrame, key: str, k: int, dim: int, centres: np.ndarray) -> tuple[int, float]:
+    """(probes, recall): the least number of cells, PROBES at least, that hold the exact neighbours of a sample of ``asked`` in all ``vectors`` to TUNED_RECALL."""
+    least = min(PROBES, len(centres))
+    if least == len(centres):
+        return least, 1.0
+    sample = asked.select(key, "v").orderBy(F.xxhash64(key, F.lit(1))).limit(TUNE_QUERIES).toPandas()
+    if not len(sample):
+        return least, 1.0
+    q = matrix(sample["v"], dim)
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+    rank = np.empty(order.shape, np.int32)
+    np.put_along_axis(rank, order, np.arange(len(centres), dtype=np.int32)[None, :], 1)
+    sent = vectors.sparkSession.sparkContext.broadcast((q, sample[key].to_numpy(), rank, centres))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a task's k best of each query
+        q, keys, rank, centres = sent.value
+        sims, ranks = np.full((len(q), k), -3, np.float32), np.full((len(q), k), -1, np.int32)
+        for whole in batches:
+            for start in range(0, len(whole), 2000):
+                pdf = whole.iloc[start : start + 2000]
+                x = matrix(pdf["v"], dim)
+                found = np.where(keys[:, None] == pdf[key].to_numpy()[None, :], -3, q @ x.T)
+                both = np.concatenate([sims, found], 1)
+                best = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                cells = np.concatenate([ranks, rank[:, (x @ centres.T).argmax(1)]], 1)
+                sims, ranks = np.take_along_axis(both, best, 1), np.take_along_axis(cells, best, 1)
+        i, j = np.nonzero(sims > -2)
+        yield pd.DataFrame({"query": i.astype(np.int32), "similarity": sims[i, j], "rank": ranks[i, j]})
+
+    found = vectors.select(key, "v").mapInPandas(nearest, "query int, similarity float, rank int")
+    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "rank"))
+    found = found.withColumn("best", best).where(F.col("best") <= k).groupBy("rank").count().toPandas()  # a row per centroid at most
+    by_rank = np.zeros(len(centres), np.int64)
+    by_rank[found["rank"]] = found["count"]
+    if not by_rank.sum():
+        return least, 1.0
+    share = np.cumsum(by_rank) / by_rank.sum()
+    probes = max(least, int(np.flatnonzero(share >= TUNED_RECALL)[0]) + 1)
+    return probes, float(share[probes - 1])
+
+
+def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, probes: int | None = None, shard_rows: int = SHARD_ROWS, queries: DataFrame | None = None) -> DataFrame:
+    """(key, neighbour, similarity, rank) of each usable vector, or of those whose keys ``queries`` holds. ``probes`` are tuned unless given."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     vectors = staged(usable(df, key, vector, dim), "hnsw-vectors")
@@ -251,6 +295,9 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM,
     sample = vectors.orderBy(F.xxhash64(key)).limit(SAMPLE_ROWS if count > 1 else 0).select("v").toPandas()
     centres = fit_centroids(matrix(sample["v"], dim), count) if count > 1 else np.zeros((1, dim), np.float32)
     sent = spark.sparkContext.broadcast(centres)
+    wanted = None if queries is None else queries.select(key).distinct()
+    if probes is None:
+        probes = tuned_probes(vectors, vectors if wanted is None else vectors.join(wanted, key, "left_semi"), key, k, dim, centres)[0]
     take = min(probes, len(centres))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +309,7 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM,
 
     routed = staged(vectors.mapInArrow(route, f"{key} {kind}, v binary, cells array<int>"), "hnsw-routed")
     sizes = routed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("splits"))
-    asked = routed if queries is None else routed.join(queries.select(key).distinct(), key, "left_semi")
+    asked = routed if wanted is None else routed.join(wanted, key, "left_semi")
     part = F.pmod(F.xxhash64(key), F.col("splits")).cast("int")
     sizes = F.broadcast(sizes)  # a row per centroid, MAX_CENTROIDS at most
     base = routed.withColumn("cell", F.col("cells")[0]).join(sizes, "cell").select("cell", part.alias("split"), key, "v", F.lit(True).alias("stored"))

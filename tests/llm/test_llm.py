@@ -57,6 +57,20 @@ def test_neighbours_end_to_end(spark, data):
     assert {tuple(r) for r in hnsw.similar_pairs(got, "vec_id", 0.8).collect()} == strong
 
 
+def test_probes_grow_with_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "CENTROID_ROWS", 25)
+    x = np.random.default_rng(4).normal(size=(1500, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, e array<float>")
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :10]
+    for step, queries in ((1, None), (10, df.where("id % 10 = 0"))):
+        want = {(i, int(j)) for i in range(0, 1500, step) for j in best[i]}
+        found = {(r["id"], r["neighbour"]) for r in hnsw.neighbours(df, "id", "e", k=10, dim=16, queries=queries).collect()}
+        assert len(found & want) / len(want) >= 0.99
+
+
 def test_unusable_vectors(spark):
     good = [1.0, 0.0, 2.0]
     data = [(1, good, "x"), (1, good, "y"), (2, None, ""), (3, [], ""), (4, [0.0, 0.0, 0.0], ""), (5, [1.0, 2.0], ""), (6, [1.0, float("nan"), 0.0], ""), (None, good, ""), (7, [1.0, None, 3.0], ""), (8, [2.0, 0.0, 4.0], "")]

@@ -230,10 +230,12 @@ def terms(text: Column) -> Column:
     return F.concat(words, F.zip_with(words, F.slice(words, 2, 1_000_000), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
 
 
-def tfidf(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int = 300_000) -> DataFrame:
-    """(key, term, weight): sublinear tf, smoothed idf, unit length."""
+def tfidf(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int | None = None) -> DataFrame:
+    """(key, term, weight): sublinear tf, smoothed idf, unit length. ``max_terms`` keeps only the most frequent terms."""
     tf = df.select(key, F.explode(F.array_compact(terms(F.col(text)))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(max_terms)
+    frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    if max_terms is not None:
+        frequency = frequency.orderBy(F.desc("df"), "term").limit(max_terms)
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
     w = tf.join(frequency, "term").crossJoin(F.broadcast(n)).select(key, "term", raw.alias("w"))  # one row

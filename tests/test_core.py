@@ -198,6 +198,13 @@ def test_clauses(spark, text, expected):
     assert _clauses(spark, text) == expected
 
 
+def test_tfidf_keeps_all_terms(spark):
+    # 150,100 words and 150,099 pairs of neighbours, each in both documents
+    text = " ".join(f"w{i}" for i in range(150_100))
+    df = spark.createDataFrame([("a", text), ("b", text)], "k string, t string")
+    assert retrieval.tfidf(df, "k", "t").where("k = 'a'").count() == 300_199
+
+
 def test_clause_limit(spark):
     assert len(_clauses(spark, "word again. " * 100)) == 40
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.functions.missing import text_missing
+from cataloom.session import staged
 
 MAX_EDITS = 2
 BLOCK_ENTRIES = 20_000
@@ -147,8 +148,18 @@ def distance(a: str, b: str) -> tuple[int, float]:
 class Dictionary:
     """Symmetric-delete dictionary of one block of reference entries."""
 
-    def __init__(self, entries: Iterable[tuple[int, str, str, int]], max_edits: int = MAX_EDITS, max_length: int = 64):
-        """entries: (ref_id, field, canonical value, frequency of the literal value)."""
+    def __init__(
+        self,
+        entries: Iterable[tuple[int, str, str, int]],
+        max_edits: int = MAX_EDITS,
+        max_length: int = 64,
+        shared: Iterable[tuple[str, str]] = (),
+        longest: dict[str, int] | None = None,
+    ):
+        """entries: (ref_id, field, canonical value, frequency of the literal value).
+
+        Of a block of a longer list: the (field, alias) that entries of several blocks share, and the length of a field's longest entry in the list.
+        """
         self.max_edits, self.max_length = max_edits, max_length
         self.literal: dict[tuple[str, str], int] = {}
         self.index: dict[tuple[str, str], list[int]] = {}
@@ -167,13 +178,20 @@ class Dictionary:
             for t in aliases(form):
                 # an alias that two entries share stands for neither
                 self.alias[field, t] = at if (field, t) not in self.alias else -1
+        self.alias |= dict.fromkeys(shared, -1)
+        self.longest |= longest or {}
 
     def lookup(self, field: str, typed: str) -> tuple[int, int, float, int]:
         """(ref_id, edits, weighted cost, frequency); ref_id -1 for a miss."""
+        best = self.ranked(field, typed)
+        return (-1, -1, -1.0, 0) if best is None else (best[5], best[6], best[2], -best[4])
+
+    def ranked(self, field: str, typed: str) -> tuple[int, int, float, int, int, int, int] | None:
+        """(form, step, weighted cost, words apart, -frequency, ref_id, edits): of several blocks' hits the least is that of the whole list."""
         best = None
         form = fold(typed)
         forms = dict.fromkeys((strip_decorations(form, field), form))
-        for text in forms:
+        for number, text in enumerate(forms):
             key = compact(text)
             if not key:
                 continue
@@ -192,40 +210,71 @@ class Dictionary:
                     # an edit for every three characters at most, so that short names don't meet each other
                     if edits > min(self.max_edits, max(1, len(entry) // 3)):
                         continue
-                    rank = (round(cost, 6), abs(words - len(text.split())), -frequency, ref_id, edits)
+                    rank = (number, 0, round(cost, 6), abs(words - len(text.split())), -frequency, ref_id, edits)
                     if best is None or rank < best:
                         best = rank
             if best is None and len(text) <= 4 * self.longest.get(field, 0):
                 words = text.split()
                 plain = compact(" ".join(w for w in words if w != "and"))
-                for short in (plain, *(compact(" ".join(words[n:])) for n in (1, 2) if n < len(words))):
+                for step, short in enumerate((plain, *(compact(" ".join(words[n:])) for n in (1, 2) if n < len(words))), 1):
                     at = self.alias.get((field, short), -1)
                     # with words left out in front, the rest must be an entire entry
                     if at >= 0 and (short == plain or short == self.entries[at][1]):
-                        best = (float(self.max_edits + 1), 0, -self.entries[at][3], self.entries[at][0], self.max_edits + 1)
+                        best = (number, step, float(self.max_edits + 1), 0, -self.entries[at][3], self.entries[at][0], self.max_edits + 1)
                         break
             if best is not None:
                 break
-        return (-1, -1, -1.0, 0) if best is None else (best[3], best[4], best[0], -best[2])
+        return best
+
+
+def _shared_aliases(reference: DataFrame) -> DataFrame:
+    """``reference`` with the aliases of each entry that another entry of the whole list shares, and the length of its field's longest entry."""
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in reference.schema)}, aliases array<string>, length int"
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [fold(v) for v in pdf["canonical_value"]]
+            yield pdf.assign(aliases=[sorted(aliases(f)) for f in own], length=[len(compact(f)) for f in own])
+
+    # numbered, so that a row that repeats counts as often as it stands there
+    entries = staged(reference.mapInPandas(forms, schema).withColumn("at", F.monotonically_increasing_id()), "canonical-aliases")
+    each = entries.select("at", "field_name", F.explode("aliases").alias("alias"))
+    several = each.groupBy("field_name", "alias").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(several, ["field_name", "alias"]).groupBy("at").agg(F.collect_list("alias").alias("shared"))
+    longest = entries.groupBy("field_name").agg(F.max("length").alias("longest"))
+    return entries.drop("aliases", "length").join(shared, "at", "left").join(longest, "field_name").drop("at")
 
 
-def _blocks(reference: DataFrame, frequency: DataFrame, block_entries: int) -> Iterator[list[tuple[int, str, str, int]]]:
-    """The reference list in bounded blocks, streamed to the driver."""
-    rows = (
-        reference.where(F.col("canonical_value").isNotNull() & F.col("field_name").isNotNull())
-        .join(frequency, ["field_name", "canonical_value"], "left")
-        .select("ref_id", "field_name", "canonical_value", F.coalesce("frequency", F.lit(0)).alias("frequency"))
+Block = tuple[list[tuple[int, str, str, int]], set[tuple[str, str]], dict[str, int]]
+
+
+def _blocks(reference: DataFrame, frequency: DataFrame, block_entries: int) -> Iterator[Block]:
+    """The reference list in bounded blocks, streamed to the driver: entries, aliases that stand for no single entry of the whole list, longest entries."""
+    known = reference.where(F.col("canonical_value").isNotNull() & F.col("field_name").isNotNull()).select("ref_id", "field_name", "canonical_value")
+    if known.limit(block_entries + 1).count() > block_entries:
+        known = _shared_aliases(known)
+    else:
+        known = known.select("*", F.lit(None).cast("array<string>").alias("shared"), F.lit(0).alias("longest"))
+    rows = known.join(frequency, ["field_name", "canonical_value"], "left").select(
+        "ref_id", "field_name", "canonical_value", F.coalesce("frequency", F.lit(0)).alias("frequency"), "shared", "longest"
     )
-    block: list[tuple[int, str, str, int]] = []
+    block: Block = ([], set(), {})
     for r in rows.toLocalIterator():
-        block.append((r.ref_id, r.field_name, r.canonical_value, r.frequency))
-        if len(block) == block_entries:
+        block[0].append((r.ref_id, r.field_name, r.canonical_value, r.frequency))
+        block[1].update((r.field_name, a) for a in r.shared or ())
+        if r.longest:
+            block[2][r.field_name] = r.longest
+        if len(block[0]) == block_entries:
             yield block
-            block = []
-    if block:
+            block = ([], set(), {})
+    if block[0]:
         yield block
 
 
+#: What orders the hits of blocks as one dictionary of the whole list would: literal entries have form -1, misses form 2.
+_RANK = {"form": "int", "step": "int", "cost": "double", "words": "int", "rarity": "long", "ref_id": "long", "edits": "int"}
+
+
 def resolve(values: DataFrame, reference: DataFrame, fields: list[str], key: str, block_entries: int = BLOCK_ENTRIES, max_edits: int = MAX_EDITS) -> DataFrame:
     """(key, field_name, value, ref_id, edits, cost) of every cell of ``fields`` that isn't missing.
 
@@ -238,37 +287,36 @@ def resolve(values: DataFrame, reference: DataFrame, fields: list[str], key: str
     cells = cells.where(~text_missing(F.col("value")))
     literals = reference.select("field_name", F.col("canonical_value").alias("value")).distinct()
     frequency = cells.join(literals, ["field_name", "value"]).groupBy("field_name", F.col("value").alias("canonical_value")).agg(F.count(F.lit(1)).alias("frequency"))
-    schema = f"{cells.schema[key].simpleString().replace(':', ' ')}, field_name string, value string, ref_id long, edits int, cost double, frequency long"
+    schema = f"{cells.schema[key].simpleString().replace(':', ' ')}, field_name string, value string, {', '.join(f'{c} {t}' for c, t in _RANK.items())}"
 
-    def against(block: list[tuple[int, str, str, int]]) -> DataFrame:
+    def against(block: Block) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
         def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words = Dictionary(sent.value, max_edits)
-            memo: dict[tuple[str, str], tuple[int, int, float, int]] = {}
+            entries, shared, longest = sent.value
+            words = Dictionary(entries, max_edits, shared=shared, longest=longest)
+            memo: dict[tuple[str, str], tuple[int, int, float, int, int, int, int]] = {}
             for pdf in batches:
                 found = []
                 for pair in zip(pdf["field_name"], pdf["value"]):
                     hit = memo.get(pair)
                     if hit is None:
                         ref = words.literal.get(pair)
-                        hit = (ref, 0, 0.0, 0) if ref is not None else words.lookup(*pair)
+                        hit = (-1, 0, 0.0, 0, 0, ref, 0) if ref is not None else words.ranked(*pair) or (2, 0, -1.0, 0, 0, -1, -1)
                         if len(memo) > 200_000:
                             memo.clear()
                         memo[pair] = hit
                     found.append(hit)
-                pdf["ref_id"], pdf["edits"], pdf["cost"], pdf["frequency"] = [list(x) for x in zip(*found)] if found else [[], [], [], []]
-                yield pdf
+                yield pdf.assign(**dict(zip(_RANK, [list(x) for x in zip(*found)] if found else [[] for _ in _RANK])))
 
         return cells.mapInPandas(mapped, schema)
 
-    parts = [against(b) for b in _blocks(reference, frequency, block_entries)] or [against([])]
+    parts = [against(b) for b in _blocks(reference, frequency, block_entries)] or [against(([], set(), {}))]
     out = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
             out = out.unionByName(p)
-        hit = F.col("ref_id") >= 0
-        rank = F.struct((~hit).alias("a"), F.col("cost").alias("b"), (-F.col("frequency")).alias("c"), F.col("ref_id").alias("d"))
+        rank = F.struct(*_RANK)
         out = out.groupBy(key, "field_name", "value").agg(*[F.min_by(c, rank).alias(c) for c in ("ref_id", "edits", "cost")])
     return out.select(key, "field_name", "value", "ref_id", "edits", "cost")
 

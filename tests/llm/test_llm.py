@@ -259,6 +259,16 @@ def test_distance_is_damerau_levenshtein(a, b):
         assert canonical.deletes(a, 2) & canonical.deletes(b, 2)
 
 
+def test_blocks_resolve_as_the_whole_list(spark):
+    names = ["Marrow Pine", "Marrow Gate", "KESTOVA", "Kestova", "Orbis Nine"]
+    ref = spark.createDataFrame([(i, "brand", v) for i, v in enumerate(names, 1)], "ref_id long, field_name string, canonical_value string")
+    typed = ["Marrow", "Marrow Pine", "MG", "Kestova", "KESTOVA", "KESTOVA", "Orbis", "Marow Gate", "Silverfen"]
+    df = spark.createDataFrame([(f"a{i}", v) for i, v in enumerate(typed)], "parent_asin string, brand string")
+    for block in (1, 2, 20):
+        got = {r["parent_asin"]: r["ref_id"] for r in canonical.resolve(df, ref, ["brand"], "parent_asin", block_entries=block).collect()}
+        assert [got[f"a{i}"] for i in range(len(typed))] == [-1, 1, 2, 4, 3, 3, 5, 2, -1]
+
+
 def test_resolve_in_blocks_and_cases(spark):
     ref = spark.createDataFrame([e[:3] for e in ENTRIES], "ref_id long, field_name string, canonical_value string")
     data = [("a", "Kestova", "Zntor 7"), ("b", "kestva", None), ("c", "n/a", "  "), ("d", None, "Unknown"), ("e", "kestva", "nothing here")]

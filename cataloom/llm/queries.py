@@ -66,17 +66,33 @@ def p3_day_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("g")[0].alias("day"), F.col("g")[1].alias("segment"), "n", *SHARES.values(), "rank_error")
 
 
-def p3_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per canonical brand; brands without an entry stand together under null."""
-    p = _products(spark, sf_dir, ["price", "brand"]).where(known_number(F.col("price")).isNotNull())
+def _brand_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per load day, so that any days' summaries can be put together."""
+    p = _products(spark, sf_dir, ["price", "brand", "loaded_at"]).where(known_number(F.col("price")).isNotNull())
+    brands = canonical.resolve(p, table(spark, sf_dir, "canonical_values"), ["brand"], "parent_asin").select("parent_asin", "ref_id")
+    priced = p.select("parent_asin", "price", "loaded_at").join(brands, "parent_asin", "left")
+    return percentiles.summary(priced, [F.to_date("loaded_at"), F.col("ref_id")], F.col("price"))
+
+
+def _brand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "canonical_values")
-    brands = canonical.resolve(p, names, ["brand"], "parent_asin").select("parent_asin", "ref_id")
-    priced = p.select("parent_asin", "price").join(brands, "parent_asin", "left")
-    counted = percentiles.summary(priced, [F.col("ref_id")], F.col("price"))
-    found = percentiles.wide(percentiles.percentiles(counted, list(SHARES)), SHARES)
-    entry = names.where("field_name = 'brand'").select(F.col("ref_id").cast("string").alias("id"), F.col("canonical_value").alias("brand"))
+    return names.where("field_name = 'brand'").select(F.col("ref_id").cast("string").alias("id"), F.col("canonical_value").alias("brand"))
+
+
+def p3_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per canonical brand, from the merged summaries of single load days; brands without an entry stand together under null."""
+    days = _brand_summary(spark, sf_dir)
+    whole = percentiles.merge(days.select(F.array(F.col("g")[1]).alias("g"), "v", "n"))
+    found = percentiles.wide(percentiles.percentiles(whole, list(SHARES)), SHARES)
     # -1 and "missing" come out as two rows without a name
-    return found.withColumn("id", F.col("g")[0]).join(entry, "id", "left").select("id", "brand", "n", *SHARES.values(), "rank_error")
+    return found.withColumn("id", F.col("g")[0]).join(_brand_names(spark, sf_dir), "id", "left").select("id", "brand", "n", *SHARES.values(), "rank_error")
+
+
+def p3_day_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per load day and canonical brand."""
+    found = percentiles.wide(percentiles.percentiles(_brand_summary(spark, sf_dir), list(SHARES)), SHARES)
+    named = found.withColumn("id", F.col("g")[1]).join(_brand_names(spark, sf_dir), "id", "left")
+    return named.select(F.col("g")[0].alias("day"), "id", "brand", "n", *SHARES.values(), "rank_error")
 
 
 # 4 ---------------------------------------------------------------
@@ -154,5 +170,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_neighbours, p3_segment, p3_day_segment, p3_brand, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_report, p7_ids, p8_found, p8_items, p9_found)
+    for f in (p2_found, p2_neighbours, p3_segment, p3_day_segment, p3_brand, p3_day_brand, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_report, p7_ids, p8_found, p8_items, p9_found)
 }

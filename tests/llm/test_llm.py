@@ -115,6 +115,17 @@ def test_percentiles_merge_days(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_brand_percentiles_by_day(spark, data):
+    from cataloom.llm import queries
+
+    whole = {r["id"]: r["n"] for r in queries.p3_brand(spark, data).collect()}
+    days = queries.QUERIES["p3_day_brand"](spark, data).collect()
+    by = defaultdict(int)
+    for r in days:
+        by[r["id"]] += r["n"]
+    assert dict(by) == whole and len({r["day"] for r in days}) > 1
+
+
 # ---------------------------------------------------------------- 4 listings
 
 

@@ -3,10 +3,10 @@
 1. Evidence is read from each listing: maker (typed brand mapped to the canonical list, or named in the title), model code, part number,
    memory and storage (columns in any unit, otherwise the title). Look-alike characters in codes (O/0, I/l/1) are folded.
 2. Subwords of title, maker and sizes are hashed to ``FEATURES`` rows of an embedding table. The table is weighted by inverse document frequency over
-   all listings and trained by in-batch contrastive loss, on a sample of at most ``TRAIN_ROWS`` listings (a documented bound), whose positives
+   all listings and trained by in-batch contrastive loss, on a sample of at most ``TRAIN_ROWS`` listings (a documented bound) in whole groups, whose positives
    are pairs that name the same code or part number in other words.
 3. Every listing is encoded and stored in the inverted list of its nearest centroid, within the stratum of its memory and storage; it is searched for in its ``probes`` nearest lists there. The number of probes is
-   tuned: exact neighbours of a sample of queries over all rows must be found to ``TUNED_RECALL``.
+   tuned, up to all lists: exact neighbours of a sample of queries over all rows must be found to ``TUNED_RECALL``.
 4. Candidates above the similarity threshold are vetoed when a number differs: memory, storage, code, or part number where no code is shared; or when makers differ.
 5. Two listings are linked when each finds the other; linked listings form groups by connected components.
 
@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cataloom.llm.canonical import Dictionary, compact, fold
@@ -43,7 +44,9 @@ FEATURES, WORD_ROWS, WIDTH = 1 << 16, 1 << 14, 64
 #: Weight at the start of training: a listing's identity lies in its codes, not in its many other words.
 WORD_WEIGHT, CODE_WEIGHT = 0.5, 2.0
 TRAIN_ROWS, STEPS, BATCH, RATE, TEMPERATURE = 12_000, 80, 384, 0.3, 0.1
+GROUP_ROWS = 8  # listings of one code and sizes in the sample, so that a hot group doesn't fill it
 LIST_AIM, LIST_ROWS, MAX_LISTS = 1500, 4000, 4096
+FIRST_LISTS = 32  # nearest lists kept of each listing; more where the tuning needs them
 TUNED_RECALL, TUNE_QUERIES, SPARE_PROBES = 0.9995, 1000, 2
 SIMILARITY = 0.35
 
@@ -241,10 +244,18 @@ def train(features: list[np.ndarray], labels: np.ndarray, idf: np.ndarray, seed:
     return table
 
 
+def _sample(listings: DataFrame, key: str) -> DataFrame:
+    """At most TRAIN_ROWS listings drawn by hash of code (or part) and sizes: listings of one product come in together, at any number of rows."""
+    label = F.xxhash64(F.when(F.col("code") != 0, F.col("code")).otherwise(F.col("part")), "ram", "storage")
+    within = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(key), key))
+    drawn = listings.withColumn("label", label).withColumn("within", within).where(F.col("within") <= GROUP_ROWS)
+    return drawn.orderBy("label", "within").limit(TRAIN_ROWS)
+
+
 def _fitted(listings: DataFrame, key: str, counts: np.ndarray, n: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
-    """(table in half precision, centroids), trained in one task on at most TRAIN_ROWS listings drawn by hash; only the result returns to the driver."""
+    """(table in half precision, centroids), trained in one task on ``_sample``; only the result returns to the driver."""
     idf = np.log((1000 + n) / (1 + counts))  # smoothed, so that in a small collection a shared code isn't a common word
-    sample = listings.orderBy(F.xxhash64(key)).limit(TRAIN_ROWS).select("code", "part", "ram", "storage", "features")
+    sample = _sample(listings, key).select("code", "part", "ram", "storage", "features")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows = [], []
@@ -336,7 +347,7 @@ class SameProduct:
         lists = int(min(MAX_LISTS, max(1, round(largest / LIST_AIM))))
         table, centres = _fitted(listings, key, counts, n, lists)
         model = spark.sparkContext.broadcast((table, centres))
-        most = min(32, max(1, len(centres)))
+        most = min(max(FIRST_LISTS, probes or 0), max(1, len(centres)))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, centres = model.value
@@ -348,8 +359,12 @@ class SameProduct:
                         [*batch.columns[:6], pa.array([r.tobytes() for r in v.astype("<f2")], pa.binary()), pa.array(list(near))], names=[key, *_COLUMNS, "v", "lists"]
                     )
 
-        placed = staged(listings.mapInArrow(place, f"{schema.rsplit(',', 1)[0]}, v binary, lists array<int>"), "listings-placed")
-        self.probes, self.recall = self._tuned(placed, most) if probes is None else (min(probes, most), None)
+        while True:
+            placed = staged(listings.mapInArrow(place, f"{schema.rsplit(',', 1)[0]}, v binary, lists array<int>"), "listings-placed")
+            self.probes, self.recall = self._tuned(placed, most) if probes is None else (min(probes, most), None)
+            if self.recall is None or self.recall >= TUNED_RECALL or most >= len(centres):
+                break
+            most = min(4 * most, len(centres))
         self.links = staged(self._search(placed, self.probes), "listings-links")
 
     def _tuned(self, placed: DataFrame, most: int) -> tuple[int, float]:

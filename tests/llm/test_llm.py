@@ -158,6 +158,30 @@ def test_listing_units():
     assert listings.evidence("QQ1234A", "Kestva", None, None, _makers())[0] == 1
 
 
+def test_training_sample_holds_groups(spark, monkeypatch):
+    monkeypatch.setattr(listings, "TRAIN_ROWS", 100)
+    # 1,000 pairs and a hot group
+    data = [(f"k{i}", i // 2 + 1, 0, 8, 256) for i in range(2000)] + [(f"h{i}", 5000, 0, 8, 256) for i in range(1000)]
+    df = spark.createDataFrame(data, "key string, code long, part long, ram int, storage int")
+    by = defaultdict(int)
+    for r in listings._sample(df, "key").collect():
+        by[r["code"]] += 1
+    assert sum(by.values()) == 100 and sum(n > 1 for n in by.values()) >= 45
+
+
+def test_lists_extend_to_the_tuned_recall(spark, monkeypatch):
+    monkeypatch.setattr(listings, "FIRST_LISTS", 1)
+    monkeypatch.setattr(listings, "LIST_AIM", 3)
+    rng = random.Random(6)
+    codes = [f"HS{i:04d}X" for i in range(2000, 2040)]
+    words = ["Notebook", "Laptop", "New", "Hot Deal", "2023", "Slim", "Silver", "Black", "Office", "Student"]
+    data = [(f"p{i}", f"Kestova {' '.join(rng.sample(words, 4))} {codes[i % 40]} 8GB RAM 256GB SSD", "Kestova", i) for i in range(120)]
+    df = spark.createDataFrame(data, "parent_asin string, title string, brand string, loaded_at int").withColumns({"ram_gb": F.lit(8.0), "storage_gb": F.lit(256.0)})
+    ref = spark.createDataFrame([(1, "brand", "Kestova")], "ref_id long, field_name string, canonical_value string")
+    found = listings.SameProduct(df, "parent_asin", "loaded_at", ref)
+    assert found.recall >= listings.TUNED_RECALL and found.probes > 1
+
+
 def test_same_product(spark):
     spec = "parent_asin string, title string, brand string, ram_gb double, storage_gb double, loaded_at timestamp, maker string"
     import datetime as dt

@@ -9,9 +9,9 @@ a short form that stands for one entry only (leading words, initials, a number s
 entire entry); else it is reported as -1.
 
 Defined cases: a null, blank or placeholder value is missing and gives no row; a value that literally is an entry gives no row from
-``unresolved`` (and distance 0 from ``resolve``); a value of which nothing remains after folding is -1; very long
-values (over ``max_length`` folded characters beyond the longest entry) cannot be within the bound and are -1 without probing;
-repeated rows resolve alike; an empty reference list gives -1 for every value; extra columns are not read.
+``unresolved`` (``literal`` in ``resolve``), one that only folds onto an entry (other case, decorations, look-alikes) gives one, with distance 0;
+a value of which nothing remains after folding is -1; a very long value (over ``max_edits`` folded characters beyond the longest entry) cannot
+be within the bound, so only its short forms are looked up; repeated rows resolve alike; an empty reference list gives -1 for every value; extra columns are not read.
 
 Scale: the rows are mapped where they lie, with a memo per task, so there is no shuffle of rows and no skew from a hot value. The
 dictionary is broadcast in blocks of at most ``block_entries`` reference entries, a bound that is checked here: with more
@@ -45,7 +45,7 @@ DECORATIONS: dict[str, tuple[str, ...]] = {
     "": (r"[®™©]", r"\((?:r|tm|c)\)", r"^[\"'“”]+|[\"'“”]+$", r"[ .]+$"),
     "brand": (r"^visit the (?=.+ store$)", r"(?<=\w) store$", r"^by ", r"^brand ?: ?", r" ?\(official\)$", r",? inc\.?$", r",? usa$", r" corp(?:oration)?\.?$", r" (?:computers|laptops)$"),
     "cpu_family": (r"^(?:quad|dual|hexa|octa)[- ]core ", r" cpu @ [\d.]+ ?ghz$", r" ?\(\d+-core\)$", r"-\d{3,5}[a-z]{0,3}$", r" (?:series|processor|cpu)$"),
-    "gpu_model": (r"^vidara (?:gform )?", r" ?\(\d+ ?gb\)$", r" \d+ ?gb gddr\d\w?$", r" laptop gpu$", r" max-q$", r" graphics$"),
+    "gpu_model": (r" ?\(\d+ ?gb\)$", r" \d+ ?gb gddr\d\w?$", r" laptop gpu$", r" max-q$", r" graphics$"),
 }
 
 # Number words and Roman numerals.
@@ -152,7 +152,6 @@ class Dictionary:
         self,
         entries: Iterable[tuple[int, str, str, int]],
         max_edits: int = MAX_EDITS,
-        max_length: int = 64,
         shared: Iterable[tuple[str, str]] = (),
         longest: dict[str, int] | None = None,
     ):
@@ -160,11 +159,12 @@ class Dictionary:
 
         Of a block of a longer list: the (field, alias) that entries of several blocks share, and the length of a field's longest entry in the list.
         """
-        self.max_edits, self.max_length = max_edits, max_length
+        self.max_edits = max_edits
         self.literal: dict[tuple[str, str], int] = {}
         self.index: dict[tuple[str, str], list[int]] = {}
         self.longest: dict[str, int] = {}
         self.alias: dict[tuple[str, str], int] = {}
+        self.whole: dict[tuple[str, str], int] = {}
         self.entries: list[tuple[int, str, tuple[str, ...], int, int]] = []
         for ref_id, field, value, frequency in sorted(entries):
             form = fold(value)
@@ -173,6 +173,9 @@ class Dictionary:
             self.longest[field] = max(self.longest.get(field, 0), len(key))
             at = len(self.entries)
             self.entries.append((ref_id, key, digits(key), frequency, len(form.split())))
+            known = self.whole.setdefault((field, key), at)
+            if frequency > self.entries[known][3]:
+                self.whole[field, key] = at
             for t in deletes(key, max_edits):
                 self.index.setdefault((field, t), []).append(at)
             for t in aliases(form):
@@ -213,13 +216,13 @@ class Dictionary:
                     rank = (number, 0, round(cost, 6), abs(words - len(text.split())), -frequency, ref_id, edits)
                     if best is None or rank < best:
                         best = rank
-            if best is None and len(text) <= 4 * self.longest.get(field, 0):
+            if best is None:
                 words = text.split()
-                plain = compact(" ".join(w for w in words if w != "and"))
-                for step, short in enumerate((plain, *(compact(" ".join(words[n:])) for n in (1, 2) if n < len(words))), 1):
-                    at = self.alias.get((field, short), -1)
-                    # with words left out in front, the rest must be an entire entry
-                    if at >= 0 and (short == plain or short == self.entries[at][1]):
+                short = compact(" ".join(w for w in words if w != "and"))
+                # a short form that stands for one entry only; or, with a maker's one or two words left out in front, an entire entry
+                found = [self.alias.get((field, short), -1), *(self.whole.get((field, compact(" ".join(words[n:]))), -1) for n in (1, 2) if n < len(words))]
+                for step, at in enumerate(found, 1):
+                    if at >= 0:
                         best = (number, step, float(self.max_edits + 1), 0, -self.entries[at][3], self.entries[at][0], self.max_edits + 1)
                         break
             if best is not None:
@@ -272,13 +275,14 @@ def _blocks(reference: DataFrame, frequency: DataFrame, block_entries: int) -> I
 
 
 #: What orders the hits of blocks as one dictionary of the whole list would: literal entries have form -1, misses form 2.
+LITERAL, MISS = -1, 2
 _RANK = {"form": "int", "step": "int", "cost": "double", "words": "int", "rarity": "long", "ref_id": "long", "edits": "int"}
 
 
 def resolve(values: DataFrame, reference: DataFrame, fields: list[str], key: str, block_entries: int = BLOCK_ENTRIES, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(key, field_name, value, ref_id, edits, cost) of every cell of ``fields`` that isn't missing.
+    """(key, field_name, value, ref_id, edits, cost, literal) of every cell of ``fields`` that isn't missing.
 
-    A literal entry has edits 0; ref_id -1 marks a miss. ``reference`` has ref_id, field_name and canonical_value.
+    ``literal``: the value is an entry as it stands; ref_id -1 marks a miss. ``reference`` has ref_id, field_name and canonical_value.
     """
     spark = values.sparkSession
     cells = values.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("c")).select(
@@ -302,7 +306,7 @@ def resolve(values: DataFrame, reference: DataFrame, fields: list[str], key: str
                     hit = memo.get(pair)
                     if hit is None:
                         ref = words.literal.get(pair)
-                        hit = (-1, 0, 0.0, 0, 0, ref, 0) if ref is not None else words.ranked(*pair) or (2, 0, -1.0, 0, 0, -1, -1)
+                        hit = (LITERAL, 0, 0.0, 0, 0, ref, 0) if ref is not None else words.ranked(*pair) or (MISS, 0, -1.0, 0, 0, -1, -1)
                         if len(memo) > 200_000:
                             memo.clear()
                         memo[pair] = hit
@@ -317,10 +321,10 @@ def resolve(values: DataFrame, reference: DataFrame, fields: list[str], key: str
         for p in parts[1:]:
             out = out.unionByName(p)
         rank = F.struct(*_RANK)
-        out = out.groupBy(key, "field_name", "value").agg(*[F.min_by(c, rank).alias(c) for c in ("ref_id", "edits", "cost")])
-    return out.select(key, "field_name", "value", "ref_id", "edits", "cost")
+        out = out.groupBy(key, "field_name", "value").agg(*[F.min_by(c, rank).alias(c) for c in ("form", "ref_id", "edits", "cost")])
+    return out.select(key, "field_name", "value", "ref_id", "edits", "cost", (F.col("form") == LITERAL).alias("literal"))
 
 
-def unresolved(values: DataFrame, reference: DataFrame, fields: list[str], key: str) -> DataFrame:
+def unresolved(values: DataFrame, reference: DataFrame, fields: list[str], key: str, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(key, field_name, ref_id) of each cell that holds a value but isn't literally an entry; -1 where there is none."""
-    return resolve(values, reference, fields, key).where(F.col("edits") != 0).select(key, "field_name", "ref_id")
+    return resolve(values, reference, fields, key, block_entries).where(~F.col("literal")).select(key, "field_name", "ref_id")

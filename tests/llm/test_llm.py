@@ -310,13 +310,23 @@ def test_resolve_in_blocks_and_cases(spark):
     df = spark.createDataFrame(data, "parent_asin string, brand string, cpu_family string").withColumn("cost", F.lit("clash"))
     want = {("a", "cpu_family", 4), ("b", "brand", 1), ("e", "brand", 1), ("e", "cpu_family", -1)}
     assert {tuple(r) for r in canonical.unresolved(df, ref, ["brand", "cpu_family"], "parent_asin").collect()} == want
-    small = canonical.resolve(df, ref, ["brand", "cpu_family"], "parent_asin", block_entries=2).where("edits <> 0")
+    small = canonical.resolve(df, ref, ["brand", "cpu_family"], "parent_asin", block_entries=2).where("NOT literal")
     assert {(r["parent_asin"], r["field_name"], r["ref_id"]) for r in small.collect()} == want
     none = canonical.resolve(df, ref.where("false"), ["brand"], "parent_asin")
     assert {r["ref_id"] for r in none.collect()} == {-1}
     assert canonical.unresolved(df.where("false"), ref, ["brand"], "parent_asin").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2, 20])
+def test_variants_that_fold_onto_an_entry_are_reported(spark, block):
+    """Other case, blanks, decorations and look-alikes aren't literally the entry, though no edit parts them from it."""
+    ref = spark.createDataFrame([e[:3] for e in ENTRIES], "ref_id long, field_name string, canonical_value string")
+    typed = {"Kestova": None, "KESTOVA": 1, " Kestova": 1, "Kestova ": 1, "BY KESTOVA": 1, "Kestova (official)": 1, "Kеstоva": 1, "Visit the Orbis Nine Store": 3, "marrow & pine": 2, "Marrow & Pine": None, "Orbis 9": 3, "Silverfen": -1}
+    df = spark.createDataFrame([(v, v) for v in typed], "parent_asin string, brand string")
+    got = {r["parent_asin"]: r["ref_id"] for r in canonical.unresolved(df, ref, ["brand"], "parent_asin", block).collect()}
+    assert got == {v: i for v, i in typed.items() if i is not None}
+
+
 # ---------------------------------------------------------------- 7 encoding
 
 

@@ -1,26 +1,28 @@
 """Pages of stuffed keywords, links, codes or tags, found by a suffix automaton per page and by missing clause structure.
 
-A page is cut into words (a link is one word, a hashtag one word) and units (lines, and sentences inside lines). The page's suffix
-automaton over its words gives, for every word, the longest repeated substring that ends there; the characters under repeated maximal
-substrings are the page's repeat coverage. Each unit is then judged by that coverage together with its clause structure:
+A page is cut into words (a link is one word, its anchor text comes beside it; a hashtag is one word) and units (lines, and sentences inside lines).
 
-* a unit with clause structure (closed-class words, or a sentence's end after a few words) is prose, unless phrases repeat *inside* it:
-  a stuffed phrase;
-* a unit without it is a list when it is made of links, hashtags, codes, or short separated items, or when repeats cover it, or
-  when it is a long run of plain words;
-* records (``key: value``), tables, blobs and strings of signs are neither.
+1. Clause structure: a unit of some words that ends as a sentence ends, in whatever script, and isn't a row of short separated items. No word list is used.
+2. The page's suffix automaton reads its tokens, separators and line ends included, by shape: links, hashtags, numbers, codes and capitalised words stand for
+   their kind, lower-case words for themselves. The characters under its repeated maximal substrings (two tokens and more, or a lower-case
+   word three times) are the page's repeat coverage. A unit without clause structure of whose characters at least half are covered is a list: of links, tags,
+   codes or keywords. Without such coverage it's a heading, a scrap of prose, a blob.
+3. In a unit with clause structure another automaton, over its own words, finds phrases that repeat *inside* it. A phrase for which that holds in
+   several units is stuffed; a unit is stuffed where such phrases or repeats cover a quarter of its characters.
 
-A page is stuffed when more than half of its words stand in lists or stuffed phrases.
+Records, rows of ``key: value`` and rows of a table are never lists. A page is stuffed when more than half of its words stand in lists or stuffed units. Without the automata nothing
+is covered, so no page would be found.
 
 Defined cases: a null, empty or blank text isn't stuffed; a very long text is judged whole (the automaton is linear in its words); repeated rows
 each get their own verdict; an empty table gives no rows; extra columns are not read.
 
-Scale: a map over the rows without any shuffle; memory is that of one page's automaton.
+Scale: a map over the rows without any shuffle; memory is that of one page's automaton. A page all of whose units have clause structure needs no page automaton.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,39 +30,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Closed-class words of English, German, Spanish and French that don't turn up in search phrases.
-FUNCTION_WORDS = frozenset(
-    """a an the of to in on at by from with without into over after before between because although though while whereas
-    and or but nor so if when than that which who whoever whose what this these those it its is are was were be been has have had
-    do does did will would can cannot could should must not no as also only they them their he she his her we us our you your i my
-    there here then each every both such through during about against within despite owing
-
-    der die das den dem des ein eine einen einem einer und oder aber nicht mit von vom zu zum zur im am beim auf aus bei nach über unter
-    ist sind war wird werden hat haben dass wenn wer wie noch man sich auch nur ohne gegenüber rund bis
-
-    el la los las un una unos unas y o pero no con sin en de del al por para que se su sus lo es son fue era como más si tras según
-    sigue
-
-    le les un une des et ou mais ne n l d du au aux avec sans dans sur sous par pour que qui ce cette ces il elle on nous vous est sont a ont
-    était plus après comme si""".split()
-)
-
-_LINK = re.compile(r"""<a\b[^<>]*>|\[([^\[\]]*)\]\((?:https?://|www\.)[^\s()]*\)|(?:https?://|www\.)[^\s<>"'()\[\]]+""", re.IGNORECASE)
+_LINK = re.compile(
+    r"""<a\b[^<>]*>(?P<html>[^<]*)</a>|<a\b[^<>]*>|\[(?P<mark>[^\[\]]*)\]\((?:https?://|www\.)[^\s()]*\)|(?:https?://|www\.)[^\s<>"'()\[\]]+""", re.IGNORECASE
+)
 _TAG = re.compile(r"<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?tr|/?table|/?h\d)\b[^<>]*>", re.IGNORECASE)
 _INLINE = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WORD = re.compile(r"\x00|#[^\W_]\w*|[^\W_]+(?:['’.-][^\W_]+)*")
-_LINES = re.compile(r"[\r\n  ]+")
+#: A word, a run of a blob, a separator.
+_TOKEN = re.compile(r"\x00\d+|#[^\W_]\w*|[A-Za-z0-9+/=_-]{60,}|[^\W_]+(?:['’.-][^\W_]+)*|[,;|•·،、:/»→>~*–—-]")
+_LINES = re.compile(r"[\r\n\u2028\u2029]+")
 _SENTENCES = re.compile(r"(?<=[.!?؟])(?=\s)|(?<=[。！？])")
 _END = re.compile(r"[.!?؟。！？…][\"'”’)\]]*(?:\s*\([^()]*\))?\s*$")
 _SEPARATOR = re.compile(r"\s[-–—|/·•»>*~→]+\s|[,;|•·،、]|::|>>|»|→")
-_CODE = re.compile(r"^\W*[A-Z]{1,4}[-_]?\d{3,8}\b")
 _PAIR = re.compile(r"^[\s>*•-]*[^\W\d_][\w /()-]{0,28}[:=]\s*\S")
 _RECORD = re.compile(r"""^\s*[\[{]\s*["'{\[]""")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]{2,20}$")
+_CELLS = re.compile(r"[;|\t]")
 
-LIST_WORDS = 12  # a run of plain words without clause structure is a list from this length on
-REPEATS = 0.3  # share of a unit's characters under repeats
-INSIDE = 0.25  # share of a unit's words in phrases that repeat inside it
+BLOB = 60  # letters and digits without a break from this length on are no word
+COVERED = 0.5  # share of a unit's characters under the page's repeats
+INSIDE = 0.25  # share of a unit's characters under phrases that repeat inside it
+SHORT = 3  # words up to this length are mostly closed-class words
+LINK_SIZE = 6  # characters that a link, or a word of its anchor, counts for
 
 
 class SuffixAutomaton:
@@ -151,78 +141,125 @@ def _units(text: str) -> list[str]:
     return found
 
 
-def _inside(words: list[str]) -> tuple[float, set]:
-    """Share of the words in content phrases that occur again inside the unit, and those phrases."""
-    content = [w not in FUNCTION_WORDS and not w.isdigit() for w in words]
-    pairs = Counter((a, b) for a, b, x, y in zip(words, words[1:], content, content[1:]) if x and y)
-    single = Counter(w for w, x in zip(words, content) if x)
-    phrases = {p for p, n in pairs.items() if n >= 2} | {w for w, n in single.items() if n >= 3}
-    return _under(words, phrases), phrases
+def _shape(token: str, at: int) -> str | tuple[str, int]:
+    """What the page's automaton reads for a token: its kind, or a lower-case word itself; nothing equals a blob."""
+    if token[0] == "\x00":
+        return "link"
+    if token[0] == "#":
+        return "tag"
+    if not token[0].isalnum():
+        return token
+    if len(token) >= BLOB:
+        return "blob", at
+    if any(c.isdecimal() for c in token):
+        return "number" if token.replace(".", "").isdecimal() else "code"
+    if not token.isascii() and unicodedata.name(token[0], "").split(" ")[0] != unicodedata.name(token[-1], "").split(" ")[0]:
+        return "blob", at  # scripts mixed in a token
+    return "name" if token[0].isupper() and len(token) > 1 else token
+
+
+def _is_word(token: str) -> bool:
+    return token[0] in "\x00#" or token[0].isalnum() and len(token) < BLOB
+
 
+def _size(word: str) -> int:
+    return LINK_SIZE * _words(word) if word[0] == "\x00" else len(word)
 
-def _under(words: list[str], phrases: set) -> float:
-    mark = [w in phrases for w in words]
-    for i in range(len(words) - 1):
-        if (words[i], words[i + 1]) in phrases:
-            mark[i] = mark[i + 1] = True
-    return sum(mark) / len(words)
+
+def _words(word: str) -> int:
+    """A link counts as one word beside those of its anchor."""
+    return 1 + int(word[1:] or 0) if word[0] == "\x00" else 1
+
+
+def _inside(words: list[str]) -> tuple[float, set[tuple[str, ...]]]:
+    """Share of a unit's characters under phrases that repeat inside it (two words twice, or a word three times), and those phrases.
+
+    A short word belongs to a phrase only if it never stands outside it, which parts "usb hub" from "and the".
+    """
+    seen = Counter(words)
+    if len(set(zip(words, words[1:]))) == len(words) - 1 and not any(n > 2 and len(w) > SHORT for w, n in seen.items()):
+        return 0.0, set()  # no repeat of two words, none of a long one
+    ids: dict[str, int] = {}
+    automaton = SuffixAutomaton([ids.setdefault(w, len(ids)) for w in words])
+    marks, phrases = np.zeros(len(words), bool), set()
+    for lengths, least in ((automaton.repeated(2), 2), (automaton.repeated(3), 1)):
+        for end, n in enumerate(lengths, 1):
+            if n >= least:
+                phrase = words[end - n : end]
+                times = sum(words[k : k + n] == phrase for k in range(len(words) - n + 1))
+                keep = [len(w) > SHORT or (n > 1 and seen[w] <= times) for w in phrase]
+                if any(keep):
+                    phrases.add(tuple(w for w, k in zip(phrase, keep) if k))
+                    marks[end - n : end] |= keep
+    sizes = np.array([len(w) for w in words])
+    return float(sizes[marks].sum() / sizes.sum()), phrases
+
+
+def _under(words: list[str], phrases: set[tuple[str, ...]], longest: int) -> float:
+    """Share of the characters under any of the phrases."""
+    marks = np.zeros(len(words), bool)
+    for i in range(len(words)):
+        for n in range(1, longest + 1):
+            if tuple(words[i : i + n]) in phrases:
+                marks[i : i + n] = True
+    sizes = np.array([len(w) for w in words])
+    return float(sizes[marks].sum() / sizes.sum())
+
+
+def _clause(unit: str, words: int) -> bool:
+    separators = len(_SEPARATOR.findall(unit))
+    return words >= 4 and bool(_END.search(unit)) and not (separators >= 5 and words / (separators + 1) <= 5)
 
 
 def judge(text: str | None) -> dict[str, float]:
-    """words, listed (words in lists), phrases (words in stuffed phrases), coverage (share of characters under repeats)."""
+    """words, listed (words in lists), phrases (words in stuffed units), coverage (share of the page's characters in units without clause structure under repeats)."""
     none = {"words": 0, "listed": 0, "phrases": 0, "coverage": 0.0}
     if not text or not text.strip():
         return none
-    text = text.replace("\x00", " ")
-    text = _LINK.sub(lambda m: f" {m[1] or ''} \x00 ", text)
+    # a link stands as one token that keeps the number of its anchor's words
+    text = _LINK.sub(lambda m: f" \x00{len(_WORD.findall(m['html'] or m['mark'] or ''))} ", text.replace("\x00", " "))
     text = _INLINE.sub(" ", _TAG.sub("\n", text)) if "<" in text else text
     units = _units(text)
-    by_unit = [[w.casefold() for w in _WORD.findall(u)] for u in units]
-    flat = [w for ws in by_unit for w in ws]
-    if not flat:
+    tokens = [[t for t in _TOKEN.findall(u)] for u in units]
+    by_unit = [[t for t in ts if _is_word(t)] for ts in tokens]
+    numbers = [sum(map(_words, ws)) for ws in by_unit]
+    total = sum(numbers)
+    if not total:
         return none
-    ids: dict[str, int] = {}
-    automaton = SuffixAutomaton([ids.setdefault(w, len(ids)) for w in flat])
-    twice, thrice = covered(automaton.repeated(2), 2), covered(automaton.repeated(3), 1)
-    sizes = np.array([len(w) for w in flat])
-    repeat = twice | thrice
-    listed = at = 0
-    prose: list[list[str]] = []
-    for unit, words in zip(units, by_unit):
-        n = len(words)
-        if not n:
-            continue
-        here = slice(at, at + n)
-        at += n
-        links = sum(w == "\x00" for w in words)
-        tags = sum(w[0] == "#" for w in words)
-        plain = [w for w in words if w != "\x00" and w[0] != "#"]
-        function = sum(w in FUNCTION_WORDS for w in plain)
-        separators = len(_SEPARATOR.findall(unit))
-        ended = bool(_END.search(unit))
-        short_items = separators >= 5 and n / (separators + 1) <= 5
-        clause = len(plain) >= 4 and (function / len(plain) >= 0.2 or (ended and not short_items))
-        if not clause and ended and not short_items and re.search(r"[^\x00-ɏ]", unit) and not links and not tags:
-            clause = True  # scripts without blanks or closed-class words known here
-        share = float(sizes[here][repeat[here]].sum() / sizes[here].sum())
-        if clause:
-            prose.append(words)
-        elif _RECORD.match(unit):
-            pass
-        elif links or tags >= max(1, n // 2) or _CODE.match(unit) or short_items:
-            listed += n
-        elif _PAIR.match(unit) and n <= 12 and share < 0.9:
-            pass
-        elif share >= REPEATS and all(_LATIN.match(w) or len(w) < 20 for w in words):
-            listed += n
-        elif sum(bool(_LATIN.match(w)) for w in plain) >= LIST_WORDS:
-            listed += n
-    # phrases that repeat inside a unit count as stuffed when they do so in several units; then they count wherever they stand
-    inside = [_inside(words) for words in prose]
+    clause = [_clause(u, n) for u, n in zip(units, numbers)]
+    listed, hidden, characters = 0, 0, sum(_size(w) for ws in by_unit for w in ws)
+    cells = [len(_CELLS.findall(u)) if any(c.isdecimal() for c in u) else 0 for u in units]
+    if not all(c or not n for c, n in zip(clause, numbers)):
+        ids: dict = {}
+        sequence, plain = [], []
+        for ts in tokens:
+            for t in (*ts, "\n"):
+                kind = _shape(t, len(sequence))
+                sequence.append(ids.setdefault(kind, len(ids)))
+                plain.append(kind == t and t.isalnum())
+        automaton = SuffixAutomaton(sequence)
+        repeat = covered(automaton.repeated(2), 2) | covered(automaton.repeated(3), 1) & np.array(plain)
+        at = 0
+        for i, (unit, ts, n) in enumerate(zip(units, tokens, numbers)):
+            here = repeat[at : at + len(ts)]
+            at += len(ts) + 1
+            if not n or clause[i] or _RECORD.match(unit):
+                continue
+            sizes = np.array([_size(t) if _is_word(t) else 0 for t in ts])
+            under = int(sizes[here].sum())
+            hidden += under
+            row = cells[i] >= 2 and cells[i] in (cells[i - 1 : i] + cells[i + 1 : i + 2])
+            pair = n <= 12 and _PAIR.match(unit) and "\x00" not in unit
+            if under >= COVERED * sizes.sum() and not row and not pair:
+                listed += n
+    # phrases that repeat inside several units are stuffed, and count wherever they stand
+    prose = [([t.casefold() for t in ws], n) for ws, n, c in zip(by_unit, numbers, clause) if c and ws]
+    inside = [_inside(words) for words, _ in prose]
     spread = Counter(p for share, found in inside if share >= INSIDE for p in found)
     stuffing = {p for p, n in spread.items() if n >= 2}
-    phrases = sum(len(w) for w, (share, _) in zip(prose, inside) if stuffing and len(w) >= 5 and (share >= INSIDE or _under(w, stuffing) >= INSIDE))
-    return {"words": len(flat), "listed": listed, "phrases": phrases, "coverage": float(sizes[repeat].sum() / sizes.sum())}
+    longest = max(map(len, stuffing), default=0)
+    phrases = sum(n for (words, n), (share, _) in zip(prose, inside) if stuffing and (share >= INSIDE or _under(words, stuffing, longest) >= INSIDE))
+    return {"words": total, "listed": listed, "phrases": phrases, "coverage": hidden / max(1, characters)}
 
 
 def stuffed(measures: dict[str, float]) -> bool:

@@ -423,7 +423,7 @@ PROSE = "The keyboard is quiet and the hinge feels sturdy. We ordered ours from
     ("text", "expected"),
     [
         (None, False), ("", False), ("   ", False), (PROSE, False), (PROSE + " Tags: laptop, bag, mouse", False), ("laptop deals " * 30, True), ("#laptop #deals #bag #mouse #sale #router #cheap", True),
-        ("\n".join(f"[cheap laptop](http://shop{i}.test/)" for i in range(12)), True), ("\n".join(f"1. {PROSE} (http://a{i}.test)" for i in range(4)), False), ("aaaa" * 400, False), ("....!!!???---===", False),
+        ("\n".join(f"[cheap laptop](http://shop{i}.test/)" for i in range(12)), True), ("\n".join(f"1. {PROSE} (http://a{i}.test)" for i in range(4)), False), ("aaaa" * 400, False), ("....!!!???---===", False), ("QxWwul/vYx5YZGfB+IBPG" * 40, False), ("model;ram;price\nA1;4 GB;$9\nA2;8 GB;$8\nA3;4 GB;$7\nA4;8 GB;$6", False),
         ('{"model": "X 520", "ram_gb": 44, "tags": ["Great for Students", "Sky"], "price": 1565.99, "ok": true}', False), ("\n".join(f"AB{1000 + i} laptop price MAKER SALE" for i in range(15)), True),
         ("Buy desk lamp today because desk lamp is the desk lamp you want. When you need desk lamp, choose desk lamp from our desk lamp store. " * 4, True), (PROSE + "\n" + "cheap laptop " * 40, True),
         ("Processor: X5\nMemory: 16 GB\nStorage: 256 GB\nPrice: $1160", False), ("Панель нагрелась до 64 градусов. За 6 недель работы динамик не подвёл. Экран 15 дюйма, если не шуметь.", False),
@@ -433,6 +433,13 @@ def test_stuffed(text, expected):
     assert stuffing.stuffed(stuffing.judge(text)) is expected
 
 
+def test_nothing_is_stuffed_without_the_automaton(monkeypatch):
+    pages = ["laptop deals " * 30, "Buy desk lamp today because desk lamp is the desk lamp you want. When you need desk lamp, choose desk lamp from our desk lamp store. " * 4, "#a1 #b2 #c3 #d4 #e5"]
+    assert all(stuffing.stuffed(stuffing.judge(p)) for p in pages)
+    monkeypatch.setattr(stuffing.SuffixAutomaton, "repeated", lambda self, times=2: [0] * len(self.prefix))
+    assert not any(stuffing.stuffed(stuffing.judge(p)) for p in pages)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=30), st.integers(2, 3))
 def test_suffix_automaton_against_brute_force(seq, times):

@@ -73,6 +73,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drawn(df: DataFrame, key: str, rows: int, total: int, seed: int = 0) -> DataFrame:
+    """About ``rows`` of ``total`` rows, those whose key's hash lies under a threshold: the same keys whatever the partitions, and nothing but them is moved."""
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * rows / total))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` with at least a partition per core: a table in one small file would otherwise keep one Python worker busy."""
     spark = df.sparkSession

@@ -3,8 +3,8 @@
 * Vectors are normalised; those of another length, all zero, null or not finite are not usable and take no part.
 * Coarse centroids, fitted on a bounded sample, route vectors to shards: each vector is stored in the shard of its nearest centroid and
   searched for in the shards of its ``probes`` nearest ones. Their number is tuned at every size, up to all: of the exact neighbours of a sample
-  of queries, searched for in all rows, ``TUNED_RECALL`` must lie in the cells probed. A shard with more than ``shard_rows`` vectors (a dense category) is
-  split by hash into shards of that size, each of which is searched.
+  of queries, searched for in all rows, ``TUNED_RECALL`` must lie in the cells probed. A cell with more than ``shard_rows`` vectors (a dense category) is
+  split by hash into shards of that size, each of which is searched; its queries are split into blocks of ``ASK_ROWS``.
 * Each shard builds a hierarchical small-world graph: per level one int32 array of neighbours, row after row. Vectors are inserted and
   queries are answered in batches that walk the graph in lock step, so that the work is matrix arithmetic, not Python steps.
 * The shards' answers are merged per query.
@@ -12,8 +12,9 @@
 Defined cases: a key that repeats counts once (of differing vectors, the one of the least hash); a null key is left out; equal vectors are each other's nearest, ties go to
 the smaller key; a collection of fewer than k + 1 vectors gives what there is; an empty table gives no rows; extra columns aren't read.
 
-Scale: shuffled are ``probes`` copies of each vector, whatever the number of shards; a task holds one shard and its queries in blocks. Centroids
-(at most ``MAX_CENTROIDS`` of one vector each) are the only broadcast.
+Scale: shuffled are a copy of each vector for each block of its cell's queries, and ``probes`` copies for each split of the cells probed: one and ``probes`` as long as the number of centroids
+grows with the vectors, more beyond ``MAX_CENTROIDS`` times ``shard_rows`` of them. A task holds one split and one block of queries. Samples are drawn by a threshold on the key's hash, so nothing
+but them reaches the driver (25 MB at most). Centroids (at most ``MAX_CENTROIDS`` of one vector each) are broadcast, and the sampled queries.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cataloom.session import staged
+from cataloom.session import drawn, staged
 
 K, DIM = 10, 384
 SHARD_ROWS = 6000
 CENTROID_ROWS = 2000  # vectors per centroid aimed at
 MAX_CENTROIDS = 4096
 SAMPLE_ROWS = 16_384  # fitted on at most so many vectors
-PROBES = 3  # at least
+PROBES = 1  # at least
+ASK_ROWS = 8_000  # queries of a shard that one task answers
+MAX_TASKS = 20_000
 TUNED_RECALL, TUNE_QUERIES = 0.999, 1000
 DEGREE, EF_BUILD, EF_SEARCH, WAVE = 16, 64, 64, 4
 
@@ -248,7 +251,7 @@ def tuned_probes(vectors: DataFrame, asked: DataFrame, key: str, k: int, dim: in
     least = min(PROBES, len(centres))
     if least == len(centres):
         return least, 1.0
-    sample = asked.select(key, "v").orderBy(F.xxhash64(key, F.lit(1))).limit(TUNE_QUERIES).toPandas()
+    sample = drawn(asked.select(key, "v"), key, TUNE_QUERIES, asked.count(), 1).toPandas()
     if not len(sample):
         return least, 1.0
     q = matrix(sample["v"], dim)
@@ -292,8 +295,9 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM,
     vectors = staged(usable(df, key, vector, dim), "hnsw-vectors")
     n = vectors.count()
     count = int(min(MAX_CENTROIDS, max(1, round(n / CENTROID_ROWS))))
-    sample = vectors.orderBy(F.xxhash64(key)).limit(SAMPLE_ROWS if count > 1 else 0).select("v").toPandas()
-    centres = fit_centroids(matrix(sample["v"], dim), count) if count > 1 else np.zeros((1, dim), np.float32)
+    centres = np.zeros((1, dim), np.float32)
+    if count > 1:
+        centres = fit_centroids(matrix(drawn(vectors, key, SAMPLE_ROWS, n).orderBy(F.xxhash64(key)).select("v").toPandas()["v"], dim), count)
     sent = spark.sparkContext.broadcast(centres)
     wanted = None if queries is None else queries.select(key).distinct()
     if probes is None:
@@ -308,16 +312,19 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM,
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near))], names=[key, "v", "cells"])
 
     routed = staged(vectors.mapInArrow(route, f"{key} {kind}, v binary, cells array<int>"), "hnsw-routed")
-    sizes = routed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("splits"))
     asked = routed if wanted is None else routed.join(wanted, key, "left_semi")
-    part = F.pmod(F.xxhash64(key), F.col("splits")).cast("int")
+    blocks = lambda rows, most: F.ceil(rows / most).cast("int")
+    stored_rows = routed.groupBy(F.col("cells")[0].alias("cell")).agg(blocks(F.count(F.lit(1)), shard_rows).alias("splits"))
+    asked_rows = asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(blocks(F.count(F.lit(1)), ASK_ROWS).alias("turns"))
+    sizes = staged(stored_rows.join(asked_rows, "cell"), "hnsw-sizes")
+    tasks = sizes.agg(F.sum(F.col("splits") * F.col("turns"))).first()[0] or 1
     sizes = F.broadcast(sizes)  # a row per centroid, MAX_CENTROIDS at most
-    base = routed.withColumn("cell", F.col("cells")[0]).join(sizes, "cell").select("cell", part.alias("split"), key, "v", F.lit(True).alias("stored"))
-    query = (
-        asked.select(key, "v", F.explode("cells").alias("cell"))
-        .join(sizes, "cell")
-        .select("cell", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), key, "v", F.lit(False).alias("stored"))
-    )
+    # a dense cell is a grid: each split of its vectors meets each block of its queries
+    own = lambda column: F.pmod(F.xxhash64(key), F.col(column)).cast("int")
+    every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+    base = routed.withColumn("cell", F.col("cells")[0]).join(sizes, "cell").select("cell", own("splits").alias("split"), "turns", key, "v", F.lit(True).alias("stored"))
+    base = base.select("cell", "split", every("turns").alias("turn"), key, "v", "stored")
+    query = asked.select(key, "v", F.explode("cells").alias("cell")).join(sizes, "cell").select("cell", every("splits").alias("split"), own("turns").alias("turn"), key, "v", F.lit(False).alias("stored"))
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         stored = pdf[pdf["stored"]].sort_values(key)
@@ -329,12 +336,40 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM,
         out = pd.DataFrame({key: own, "neighbour": keys[np.maximum(at.ravel(), 0)], "similarity": sims.ravel().astype(np.float64)})
         return out[(at.ravel() >= 0) & (out[key] != out["neighbour"])]
 
-    both = base.unionByName(query).withColumn("shard", F.concat_ws("/", "cell", "split"))
-    found = both.groupBy("shard").applyInPandas(answer, f"{key} {kind}, neighbour {kind}, similarity double")
+    both = base.unionByName(query).withColumn("shard", F.concat_ws("/", "cell", "split", "turn"))
+    # several partitions a shard, so that seldom two fall into one task
+    found = both.repartition(min(MAX_TASKS, 4 * tasks), "shard").groupBy("shard").applyInPandas(answer, f"{key} {kind}, neighbour {kind}, similarity double")
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def recall(df: DataFrame, found: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, sample: int = TUNE_QUERIES) -> float:
+    """Share of the exact k nearest of about ``sample`` of the answered queries, searched for in all rows, that ``found`` holds; ties at the edge count as found."""
+    spark = df.sparkSession
+    vectors = staged(usable(df, key, vector, dim), "recall-vectors")
+    answered = found.select(key).distinct()
+    asked = drawn(vectors.join(answered, key, "left_semi"), key, sample, answered.count(), 2).toPandas()
+    if not len(asked):
+        return 1.0
+    sent = spark.sparkContext.broadcast((matrix(asked["v"], dim), asked[key].to_numpy()))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, keys = sent.value
+        sims = np.full((len(q), k), -3, np.float32)
+        for pdf in batches:
+            for start in range(0, len(pdf), 2000):
+                part = pdf.iloc[start : start + 2000]
+                both = np.concatenate([sims, np.where(keys[:, None] == part[key].to_numpy()[None, :], -3, q @ matrix(part["v"], dim).T)], 1)
+                sims = -np.partition(-both, k - 1, axis=1)[:, :k]
+        yield pd.DataFrame({key: np.repeat(keys, k), "similarity": sims.ravel().astype(np.float64)})
+
+    best = vectors.mapInPandas(nearest, f"{key} {df.schema[key].dataType.simpleString()}, similarity double").where("similarity > -2")
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("similarity")))
+    edge = best.withColumn("rank", rank).where(F.col("rank") <= k).groupBy(key).agg(F.min("similarity").alias("edge"), F.count(F.lit(1)).alias("n"))
+    hits = found.join(edge, key).where(F.col("similarity") >= F.col("edge") - 1e-6).groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    return edge.join(hits, key, "left").agg(F.sum(F.least(F.coalesce("hits", F.lit(0)), "n")) / F.sum("n")).first()[0]
+
+
 def similar_pairs(found: DataFrame, key: str, least: float) -> DataFrame:
     """(<key>_a, <key>_b), a < b, of neighbours of at least that similarity, each pair once."""
     return (

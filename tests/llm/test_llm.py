@@ -80,6 +80,16 @@ def test_unusable_vectors(spark):
     assert hnsw.neighbours(df.where("false"), "id", "e", k=3, dim=3).count() == 0
 
 
+def test_blocks_of_queries_and_recall_of_a_run(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=12)]) for i in range(300)], "id long, e array<float>")
+    monkeypatch.setattr(hnsw, "ASK_ROWS", 60)
+    found = hnsw.neighbours(df, "id", "e", k=5, dim=12, shard_rows=100).cache()
+    assert found.count() == 1500 == found.dropDuplicates(["id", "neighbour"]).count()
+    assert hnsw.recall(df, found, "id", "e", 5, 12, 400) >= 0.95
+    assert 0.4 < hnsw.recall(df, found.where("rank <= 3"), "id", "e", 5, 12, 400) <= 0.6
+
+
 # ---------------------------------------------------------------- 3 percentiles
 
 

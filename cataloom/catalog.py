@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +49,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(parent_asin, embedding): the usable vector of the smallest vec_id of each product, at unit length."""
     v = table(spark, sf_dir, "product_vectors").where("parent_asin IS NOT NULL AND size(embedding) = 384")
     one = v.groupBy("parent_asin").agg(F.min_by("embedding", F.struct("vec_id", F.xxhash64("embedding"))).alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return one.withColumn("n", norm).where("n > 0").select("parent_asin", F.transform("e", lambda x: x.cast("double") / F.col("n")).alias("embedding"))
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array([[np.nan if e is None else e for e in v] for v in batch.column(1).to_pylist()], np.float64)
+            norm = np.sqrt((x * x).sum(1))
+            keep = np.isfinite(norm) & (norm > 0)
+            x = x[keep] / norm[keep, None]
+            arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), arrays], names=["parent_asin", "embedding"])
+
+    return one.mapInArrow(unit, "parent_asin string, embedding array<double>")
+
 
 
 _MISSING = """('', '-', '--', '---', '?', '??', 'n/a', 'na', 'n.a.', 'nan', 'nil', 'none', 'null', 'tbd', 'tba', 'unknown', 'not available',

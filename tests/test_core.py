@@ -202,7 +202,7 @@ def test_tfidf_keeps_all_terms(spark):
     # 150,100 words and 150,099 pairs of neighbours, each in both documents
     text = " ".join(f"w{i}" for i in range(150_100))
     df = spark.createDataFrame([("a", text), ("b", text)], "k string, t string")
-    assert retrieval.tfidf(df, "k", "t").where("k = 'a'").count() == 300_199
+    assert retrieval.index(df, "k", F.col("t")).postings.where("k = 'a'").count() == 300_199
 
 
 def test_clause_limit(spark):
@@ -237,21 +237,75 @@ def test_backend_registry(spark):
 # ---------------------------------------------------------------- retrieval and audit
 
 
-def test_parse_question():
-    s = retrieval.parse_question("Which gaming laptop under $1,500 with 16 GB RAM is best for battery?", ["Kestova"])
-    assert (s.question_type, s.price_max, s.ram_min, s.segments, s.aspects, s.discrete_gpu) == ("recommend", 1500.0, 16.0, ("gaming",), ("performance", "battery"), True) or "battery" in s.aspects
-    assert retrieval.parse_question("under 1.5", []).price_max == 1500.0
-    assert retrieval.comparison_sides("How does the Acer Helios compare with the ASUS Strix?") == ["the Acer Helios", "the ASUS Strix"]
-    assert retrieval.entity_phrases("Tell me about the Kestova Yarteta 15 for school", ["Kestova"])[0].startswith("Kestova Yarteta")
+def _asked(spark, *questions, brands=("Kestova",)):
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(questions)], "question_id int, question string")
+    rows = retrieval.read(q, spark.createDataFrame([(b,) for b in brands], "brand string")).collect()
+    return [r["ask"] for r in sorted(rows, key=lambda r: r["question_id"])]
 
 
-def test_questions_as_columns_agree(spark):
-    questions = ["compare a and b", "rivals of x between $500 and $900", "a 14 inch i5 with 512 GB SSD around $700", "cheapest chromebook", "2 TB ssd at least $400"]
-    df = spark.createDataFrame([(q,) for q in questions], "q string")
-    for r in retrieval.question_slots(df, "q").collect():
-        s = retrieval.parse_question(r["q"], [])
-        assert (r["question_type"], r["price_min"], r["price_max"], r["screen_in"], r["cpu_tier"], r["storage_min"]) == (s.question_type, s.price_min, s.price_max, s.screen_in, s.cpu_tier, s.storage_min)
-        assert tuple(r["segments"]) == s.segments and r["superlative"] == (s.sort_by[2] if s.sort_by else None)
+def test_slots(spark):
+    a, b, c, d, e = _asked(
+        spark, "Which gaming laptop under $1,500 with 16 GB RAM is best for battery?", "under 1.5", "rivals of a Kestova between $900 and $500", "a 14 inch i5 with 512 GB SSD around $700", None
+    )
+    assert (a["question_type"], a["price_max"], a["ram_min"], a["segments"], a["discrete_gpu"]) == ("recommend", 1500.0, 16.0, ["gaming"], True) and "battery" in a["aspects"]
+    assert b["price_max"] == 1500.0 and b["wants_price_stats"]
+    assert (c["question_type"], c["price_min"], c["price_max"], c["brands"]) == ("competitor", 500.0, 900.0, ["Kestova"])
+    assert (d["screen_in"], d["cpu_tier"], d["storage_min"], d["price_min"], d["price_max"]) == (14.0, 5.0, 512.0, 525.0, 875.0)
+    assert (e["question_type"], e["segments"], e["brands"], e["price_min"], e["discrete_gpu"]) == ("product_lookup", [], [], None, False)
+
+
+def test_phrases_and_sides(spark):
+    a, b, c = _asked(spark, "How does the Acer Helios compare with the ASUS Strix?", "Tell me about the Kestova Yarteta 15 for school, or others", "compare it and one")
+    assert a["sides"] == ["the Acer Helios", "the ASUS Strix"] and a["phrases"] == ["Acer Helios", "ASUS Strix"]
+    assert b["phrases"][0] == "Kestova Yarteta 15" and not any(p in "Kestova Yarteta 15" for p in b["phrases"][1:])
+    assert c["phrases"] == [] and c["sides"] == []
+
+
+def _shop(spark):
+    data = [(f"p{i}", "Kestova" if i % 2 else "Norvik", f"{'Kestova Yarteta' if i % 2 else 'Norvik Pelbrint'} laptop {i}", "gaming" if i < 8 else "budget", None if i == 3 else 300.0 + 10 * i, float(i), i) for i in range(12)]
+    df = spark.createDataFrame(data, "parent_asin string, brand string, title string, segment string, price double, weight_lb double, rating_number long")
+    for c, v in (("gpu_model", "Unknown"), ("cpu_family", "Unknown"), ("os_family", "Windows"), ("is_discrete_gpu", True), ("has_sentiment", False)):
+        df = df.withColumn(c, F.lit(v))
+    return df.withColumns({c: F.lit(8.0) for c in ("ram_gb", "storage_gb", "screen_in", "cpu_tier", "average_rating")})
+
+
+def _searched(spark, df, *questions, k=6):
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(questions)], "question_id int, question string")
+    asked = retrieval.read(q, spark.createDataFrame([("Kestova",), ("Norvik",)], "brand string"))
+    vectors = spark.createDataFrame([(f"p{i}", [1.0, float(i % 2)]) for i in range(10)], "parent_asin string, embedding array<double>")
+    found = retrieval.index(df, "parent_asin", retrieval.indexed_text())
+    return asked, retrieval.scored(df, asked, retrieval.scores(found, vectors, q))
+
+
+def test_search_relaxes_sorts_and_spreads(spark):
+    df = _shop(spark)
+    asked, rows_ = _searched(spark, df, "gaming laptop under $100", "the lightest laptop", "Kestova Yarteta", "")
+    got = retrieval.search(rows_, retrieval.relaxation_ladder(df, asked, 3), 3).orderBy("question_id", "rank").collect()
+    by = {i: [r for r in got if r["question_id"] == i] for i in range(4)}
+    assert {r["relaxation"] for r in by[0]} == {"price constraint dropped"} and {r["segment"] for r in by[0]} == {"gaming"} and {r["n_candidates"] for r in by[0]} == {8}
+    assert [r["parent_asin"] for r in by[1]] == ["p0", "p1", "p2"] and by[1][0]["ordering"] == "sorted by lowest weight"
+    assert {r["brand"] for r in by[2]} == {"Kestova"} and len(by[2]) == 3  # the cap of two a brand gives way
+    assert len(by[3]) == 3 and by[3][0]["score"] > 0  # nothing known: priors alone
+    assert retrieval.search(rows_.where("false"), retrieval.relaxation_ladder(df.where("false"), asked, 3), 3).count() == 0
+
+
+def test_resolution_and_comparison(spark):
+    df = _shop(spark)
+    asked, rows_ = _searched(spark, df, "How does the Kestova Yarteta compare with the Norvik Pelbrint?")
+    sides = retrieval.side_questions(asked)
+    assert [(r["question_id"], r["ask"]["brands"]) for r in sides.orderBy("question_id").collect()] == [("0/0", ["Kestova"]), ("0/1", ["Norvik"])]
+    best = retrieval.resolve(rows_)
+    assert best.count() == 1 and retrieval.resolve(rows_, floor=5.0).count() == 0
+    first = spark.createDataFrame([("0/0", "p1", 0.9), ("0/1", "p1", 0.8)], "question_id string, parent_asin string, score double")
+    fill = spark.createDataFrame([(0, 1, "p1", 0.9), (0, 2, "p2", 0.5), (0, 3, "p4", 0.4)], "question_id int, rank int, parent_asin string, score double")
+    assert rows(retrieval.comparison(first, fill).select("turn", "parent_asin")) == [(1, "p1"), (2, "p2")]
+
+
+def test_evidence_takes_asked_aspects_first_and_two_of_a_side(spark):
+    data = [("p", a, s, r, i, f"{a} {s} {i}", float(v)) for i, (a, s, r, v) in enumerate([("battery", "praise", 1, 1), ("battery", "complaint", 1, 1), ("display", "praise", 1, 9), ("display", "praise", 2, 8), ("display", "praise", 3, 7), ("value", "complaint", 1, 5)])]
+    df = spark.createDataFrame(data, "parent_asin string, aspect string, side string, rank int, review_id int, snip string, score double")
+    got = [(r["evidence_rank"], r["review_id"]) for r in retrieval.review_evidence(df, ["battery"], 9).orderBy("evidence_rank").collect()]
+    assert got == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 5)]
 
 
 def test_audit(spark):
@@ -348,7 +402,7 @@ def test_union_first(spark):
     assert rows(retrieval.union_first([a, b], "k")) == [(1, "x"), (2, "z")]
 
 
-def test_notes():
-    s = retrieval.parse_question("cheapest laptop under $900", [])
-    assert len(retrieval.notes(s, "no constraints", "sorted by lowest price")) == 3
-    assert retrieval.notes(retrieval.Spec("q", "recommend"), "all constraints", "relevance") == []
+def test_notes(spark):
+    df = spark.createDataFrame([("no constraints", "sorted by lowest price", True), ("all constraints", "relevance", False)], "r string, o string, p boolean")
+    got = [x[0] for x in df.select(retrieval.notes(F.col("r"), F.col("o"), F.col("p"))).collect()]
+    assert len(got[0]) == 3 and got[1] == []

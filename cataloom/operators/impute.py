@@ -9,20 +9,24 @@ a null key at some level means that the row has no group there and backs off; ti
 rows each count as the caller passes them; an empty table gives an empty table with the added columns; other columns,
 also ones named like the helper columns of other operators, pass through untouched.
 
-Scale: the values are first counted by (level, group, value) with map-side combining. A group that holds a third of all rows thus
+Scale: one aggregation counts the values of all targets by (target, level, group, value) with map-side combining. A group that holds a third of all rows thus
 arrives as its distinct values, at most 2,000,000 for prices in cents between 20 and 20,000 and a closed vocabulary for texts,
-and the statistic is taken from those counts. The statistics are joined back under a salt, so that no hot group meets one task.
+and the statistic is taken from those counts. Groups of more than ``HOT_GROUP`` of all rows, of which there are at most 1 / HOT_GROUP a level, are joined back by broadcast;
+only the missing cells of smaller groups are shuffled to their group's statistic, so that no hot group meets one task. One join brings all targets to their rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+from cataloom.session import staged
+
+HOT_GROUP = 0.001
 
 
 @dataclass(frozen=True)
@@ -47,48 +51,62 @@ def _groups(levels: Sequence[tuple[str, ...]]) -> Column:
     return F.array_compact(F.array(*entries))
 
 
-def group_statistics(df: DataFrame, fill: Fill) -> DataFrame:
-    """(level, key, support, stat) of every group with enough support."""
-    value = fill.known.cast("double") if fill.kind == "median" else fill.known.cast("string")
-    counts = (
-        df.select(value.alias("v"), _groups(fill.levels).alias("g"))
-        .where(F.col("v").isNotNull())
-        .select("v", F.explode("g").alias("g"))
-        .groupBy(F.col("g.level").alias("level"), F.col("g.key").alias("key"), "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if fill.kind == "median":
-        stat = F.percentile("v", F.lit(0.5), F.col("n"))
-    elif fill.kind == "mode":
-        stat = F.min_by("v", F.struct(-F.col("n"), F.col("v")))
-    else:
+def _value(fill: Fill) -> Column:
+    if fill.kind not in ("median", "mode"):
         raise ValueError(f"unknown kind {fill.kind!r}")
-    return counts.groupBy("level", "key").agg(F.sum("n").alias("support"), stat.alias("stat")).where(F.col("support") >= fill.min_support)
+    return fill.known.cast("double") if fill.kind == "median" else fill.known.cast("string")
+
+
+def _cell(target: int, number: Column, text: Column, group: Column) -> Column:
+    return F.struct(F.lit(target).alias("target"), group["level"].alias("level"), group["key"].alias("key"), number.alias("number"), text.alias("text"))
+
+
+def _cells(fills: Sequence[Fill], missing_only: bool = False) -> Column:
+    """array<struct<target, level, key, number, text>>: every group of every target's cell; number and text are null where the cell is missing."""
+    parts = []
+    for i, f in enumerate(fills):
+        v = _value(f)
+        number, text = (v, F.lit(None).cast("string")) if f.kind == "median" else (F.lit(None).cast("double"), v)
+        cell = partial(_cell, i, number, text)
+        cells = F.transform(_groups(f.levels), lambda g: cell(g))  # noqa: B023
+        parts.append(F.when(v.isNull(), cells).otherwise(F.filter(cells, lambda c: F.lit(False))) if missing_only else cells)
+    return F.concat(*parts)
+
+
+def group_statistics(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
+    """(target, level, key, support, rows, number, text) of every group with enough support: its known values, all its rows, and its median or mode."""
+    counts = df.select(F.explode(_cells(fills)).alias("c")).groupBy("c.target", "c.level", "c.key", "c.number", "c.text").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("number").isNotNull() | F.col("text").isNotNull()
+    least = F.array(*[F.lit(f.min_support) for f in fills])
+    return (
+        counts.groupBy("target", "level", "key")
+        .agg(
+            F.sum(F.when(known, F.col("n")).otherwise(0)).alias("support"),
+            F.sum("n").alias("rows"),
+            F.percentile("number", F.lit(0.5), F.col("n")).alias("number"),
+            F.min(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("n"), "text")))["text"].alias("text"),
+        )
+        .where(F.col("support") >= least[F.col("target")])
+    )
 
 
-def fill_missing(df: DataFrame, key: str, fills: Sequence[Fill], salts: int = SALTS) -> DataFrame:
+def fill_missing(df: DataFrame, key: str, fills: Sequence[Fill]) -> DataFrame:
     """``df`` with ``<column>``, ``<column>_filled`` and ``<column>_level`` for each fill; ``key`` must be unique and not null."""
-    out = df
-    for f in fills:
-        known = f.known.cast("double") if f.kind == "median" else f.known.cast("string")
-        stats = group_statistics(df, f).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        best = (
-            df.where(f.known.isNull())
-            .select(F.col(key).alias("_id"), F.explode(_groups(f.levels)).alias("g"))
-            .select("_id", "g.level", "g.key", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("salt"))
-            .join(stats, ["level", "key", "salt"])
-            .groupBy("_id")
-            .agg(F.min_by("stat", "level").alias("_stat"), F.min("level").alias("_level"))
-        )
-        out = (
-            out.withColumn("_known", known)
-            .join(best, out[key] == best["_id"], "left")
-            .withColumn(f.column, F.coalesce("_known", "_stat"))
-            .withColumn(f"{f.column}_filled", F.col("_known").isNull() & F.col("_stat").isNotNull())
-            .withColumn(f"{f.column}_level", F.when(F.col("_known").isNull(), F.col("_level")))
-            .drop("_known", "_id", "_stat", "_level")
-        )
-    return out
+    group = ["target", "level", "key"]
+    stats = staged(group_statistics(df, fills), "fill-statistics")
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    sized = stats.crossJoin(F.broadcast(total)).withColumn("hot", F.col("rows") > HOT_GROUP * F.col("total"))  # one row
+    found = ["number", "text"]
+    hot = F.broadcast(sized.where("hot").select(*group, *found))  # at most 1 / HOT_GROUP groups a level
+    cells = df.select(F.col(key).alias("_id"), F.explode(_cells(fills, missing_only=True)).alias("c")).select("_id", "c.target", "c.level", "c.key")
+    near = cells.join(hot, group).unionByName(cells.join(hot, group, "left_anti").join(sized.where("NOT hot").select(*group, *found), group))
+    best = near.groupBy("_id").agg(*[F.min(F.when(F.col("target") == i, F.struct("level", *found))).alias(f"_fill{i}") for i in range(len(fills))])
+    out = df.join(best, df[key] == best["_id"], "left").withColumns({f"_known{i}": _value(f) for i, f in enumerate(fills)})
+    for i, f in enumerate(fills):
+        stat = F.col(f"_fill{i}.number" if f.kind == "median" else f"_fill{i}.text")
+        known = F.col(f"_known{i}")
+        out = out.withColumns({f.column: F.coalesce(known, stat), f"{f.column}_filled": known.isNull() & stat.isNotNull(), f"{f.column}_level": F.when(known.isNull(), F.col(f"_fill{i}.level"))})
+    return out.drop("_id", *[f"_{c}{i}" for c in ("known", "fill") for i in range(len(fills))])
 
 
 def filled_cells(filled: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

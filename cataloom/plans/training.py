@@ -11,7 +11,7 @@ from cataloom.functions.missing import folded, known_number, known_text
 from cataloom.operators.impute import Fill, fill_missing, filled_cells
 from cataloom.session import latest, table
 
-COLUMNS = ["price", "segment", "brand", "title", "ram_gb", "storage_gb", "cpu_family", "store"]
+COLUMNS = ["price", "segment", "brand", "ram_gb", "cpu_family", "store"]
 
 
 def _comparable(spark: SparkSession, sf_dir: str) -> DataFrame:

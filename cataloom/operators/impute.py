@@ -24,7 +24,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.session import staged
+from cataloom.session import join_hot, staged
 
 HOT_GROUP = 0.001
 
@@ -97,9 +97,8 @@ def fill_missing(df: DataFrame, key: str, fills: Sequence[Fill]) -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("total"))
     sized = stats.crossJoin(F.broadcast(total)).withColumn("hot", F.col("rows") > HOT_GROUP * F.col("total"))  # one row
     found = ["number", "text"]
-    hot = F.broadcast(sized.where("hot").select(*group, *found))  # at most 1 / HOT_GROUP groups a level
     cells = df.select(F.col(key).alias("_id"), F.explode(_cells(fills, missing_only=True)).alias("c")).select("_id", "c.target", "c.level", "c.key")
-    near = cells.join(hot, group).unionByName(cells.join(hot, group, "left_anti").join(sized.where("NOT hot").select(*group, *found), group))
+    near = join_hot(cells, sized.select(*group, *found, "hot"), group, F.col("hot"))  # at most 1 / HOT_GROUP hot groups a level
     best = near.groupBy("_id").agg(*[F.min(F.when(F.col("target") == i, F.struct("level", *found))).alias(f"_fill{i}") for i in range(len(fills))])
     out = df.join(best, df[key] == best["_id"], "left").withColumns({f"_known{i}": _value(f) for i, f in enumerate(fills)})
     for i, f in enumerate(fills):

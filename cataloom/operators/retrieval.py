@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions import vocabulary as V
 from cataloom.operators.sentiment import cue_pattern
-from cataloom.session import staged
+from cataloom.session import join_hot, staged
 
 FEEDBACK = 5
 QUESTION_BLOCK = 2000
@@ -176,8 +176,7 @@ def index(df: DataFrame, key: str, text: Column, min_df: int = 2) -> Index:
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
     frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n))  # one row
     vocabulary = frequency.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), (F.col("df") > HOT_TERM * F.col("n_docs")).alias("hot"))
-    hot, rare = vocabulary.where("hot").drop("hot"), vocabulary.where("NOT hot").drop("hot")
-    raw = tf.join(F.broadcast(hot), "term").unionByName(tf.join(F.broadcast(hot), "term", "left_anti").join(rare, "term"))
+    raw = join_hot(tf, vocabulary, ["term"], F.col("hot"))
     raw = raw.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return Index(raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight")), vocabulary.drop("hot"))

@@ -80,6 +80,12 @@ def drawn(df: DataFrame, key: str, rows: int, total: int, seed: int = 0) -> Data
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * rows / total))
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: Column) -> DataFrame:
+    """Inner equi-join with a ``right`` side of one row per key. Keys that are ``hot``, of which there must be few, meet ``left`` by broadcast; only the others' rows are shuffled, so no hot key meets one task."""
+    few = F.broadcast(right.where(hot))
+    return left.join(few, on).unionByName(left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot), on))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` with at least a partition per core: a table in one small file would otherwise keep one Python worker busy."""
     spark = df.sparkSession

@@ -1,30 +1,37 @@
 """Listings of the same product: a contrastively trained subword encoder, inverted-file search, numeric-variant vetoes, mutual neighbours.
 
-1. Evidence is read from each listing: maker (typed brand mapped to the canonical list, or named in the title), model code, part number,
-   memory and storage (columns in any unit, otherwise the title). Look-alike characters in codes (O/0, I/l/1) are folded.
-2. Subwords of title, maker and sizes are hashed to ``FEATURES`` rows of an embedding table. The table is weighted by inverse document frequency over
-   all listings and trained by in-batch contrastive loss, on a sample of at most ``TRAIN_ROWS`` listings (a documented bound) in whole groups, whose positives
-   are pairs that name the same code or part number in other words.
+1. Evidence is read from each listing: maker (typed brand mapped to the canonical list, or named in the title), memory and storage (columns in any unit, otherwise the title), and
+   identifiers: runs of letters and digits that no measure or known component's name explains, unbroken or broken by marks and blanks. What is broken by a blank is an identifier only if
+   some other listing writes it unbroken, and an identifier counts only where most of the listings that hold it are of one maker: the collection decides, not a pattern of
+   codes. Look-alike characters (O/0, I/l/1) are folded.
+2. Subwords of title, maker, sizes and of what several listings hold as a possible identifier (also broken by blanks everywhere) are hashed to ``FEATURES`` rows of an embedding table. The table is weighted by inverse document
+   frequency over all listings and trained by in-batch contrastive loss, on a sample of at most ``TRAIN_ROWS`` listings (a documented bound) in whole groups, whose positives
+   are pairs that share an identifier and sizes in other words.
 3. Every listing is encoded and stored in the inverted list of its nearest centroid, within the stratum of its memory and storage; it is searched for in its ``probes`` nearest lists there. The number of probes is
    tuned, up to all lists: exact neighbours of a sample of queries over all rows must be found to ``TUNED_RECALL``.
-4. Candidates above the similarity threshold are vetoed when a number differs: memory, storage, code, or part number where no code is shared; or when makers differ.
-5. Two listings are linked when each finds the other; linked listings form groups by connected components.
+4. Candidates above the similarity threshold are vetoed when makers differ, or a number differs: memory, storage, or identifiers where both have some and share none. Where one of them has none,
+   the encoder must find the pair ``ALIKE``, and what either may have as an identifier (also broken by blanks, also held by no other) must have something in common; where one has nothing of the kind,
+   only the encoder speaks for the pair, and ``BLIND`` is the threshold.
+5. Two listings are linked when each finds the other; linked listings form groups by connected components. A task emits a star for each group that its pairs form, not the pairs.
 
-A listing belongs to a group only if its maker, memory and storage are known; an accessory has none and matches nothing.
+A listing belongs to a group only if its memory and storage are known; an accessory has none and matches nothing.
 
-Defined cases: a null title is read as empty (columns alone give no code, so it matches nothing); null brand means that the maker is read from the title or, failing that,
-vetoes nothing; a null key is left out; of a key that repeats, the latest row counts; very long titles are read whole; equal listings are
-linked like others; an empty table gives no rows; extra columns aren't read.
+Defined cases: a null, empty or wordless title matches nothing; null brand means that the maker is read from the title or, failing that, vetoes nothing; a null key is left out; of a key
+that repeats, the latest row counts; very long titles are read whole; listings that are equal in words, maker and sizes are one for the search and a star beside it; an empty table gives no rows;
+extra columns aren't read.
 
 Scale: encoding is a map; the table (8 MB in half precision) and the centroids are fixed-size broadcasts. Search shuffles ``probes + 1`` vectors a listing.
-A list larger than ``LIST_ROWS`` is split into a grid of blocks, so a hot cell becomes many tasks. Vetoes act inside the search, before anything is emitted.
+A list larger than ``LIST_ROWS`` is split into a grid of blocks, so a hot cell becomes many tasks. Vetoes act inside the search, before anything is emitted, and what a task emits grows with its
+listings. Identifiers and copies that many listings hold are joined by broadcast, samples are drawn by hash thresholds.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 from cataloom.llm.canonical import Dictionary, compact, fold
 from cataloom.llm.hnsw import fit_centroids
 from cataloom.operators.components import components
-from cataloom.session import latest, staged
+from cataloom.session import drawn, join_hot, latest, staged
 
 #: Rows of the embedding table: the first WORD_ROWS for words, makers and sizes, the others for codes and part numbers.
 FEATURES, WORD_ROWS, WIDTH = 1 << 16, 1 << 14, 64
@@ -48,55 +55,59 @@ GROUP_ROWS = 8  # listings of one code and sizes in the sample, so that a hot gr
 LIST_AIM, LIST_ROWS, MAX_LISTS = 1500, 4000, 4096
 FIRST_LISTS = 32  # nearest lists kept of each listing; more where the tuning needs them
 TUNED_RECALL, TUNE_QUERIES, SPARE_PROBES = 0.9995, 1000, 2
-SIMILARITY = 0.35
+SIMILARITY, ALIKE, BLIND = 0.35, 0.5, 0.9
+ONE_MAKER = 0.6  # share of the known makers of an identifier's listings that must be one
+HOT = 0.001  # identifiers and copies that a larger share of the listings hold are broadcast
+MOST_NAMES, NAMES_BLOCK = 100_000, 2000
 
 # ---------------------------------------------------------------- evidence
 
 _FOLD = str.maketrans("OIL", "011")
-_TOKEN = re.compile(r"[A-Za-z0-9]+(?:[-_ ][A-Za-z0-9]+)?")
-# After folding, a letter may look like 0 or 1. Shapes of model codes, L letter and D digit: LLLDDDD DDDDLLL LLDDDDL LDDLDDL DDLLLDD DDLLDDL
-_CODE = re.compile(r"(?:[A-Z01]{3}\d{4}|\d{4}[A-Z01]{3}|[A-Z01]{2}\d{4}[A-Z01]|[A-Z01]\d\d[A-Z01]\d\d[A-Z01]|\d\d[A-Z01]{3}\d\d|\d\d[A-Z01]{2}\d\d[A-Z01])$")
-_NOT_CODE = re.compile(r"^(?:GTR|GVX|RAM|SSD|HDD|DDR|MPN|SKU|ART|PN|MHZ|GB|TB|WIN)|(?:GB|TB|MB|GHZ|MHZ|SSD|RAM|FHD|NEW|CORE|INCH)$")
-_PART = re.compile(r"(?<![\w.-])(?:\d{8}|\d{5}\.\d{3}|\d{3} \d{2} \d{3}|\d{4}-\d{4})(?![\w-]|\.\d)")
+_TOKEN = re.compile(r"[A-Za-z0-9]+")
+# Units behind a number.
+_UNIT = r"(?:gigabytes?|megabytes?|terabytes?|gb|tb|mb|g|t|mhz|ghz|hz|inch(?:es)?|in|cm|mm|nits?|wh|mah|lbs?|kg|cores?)"
+_MEASURE = re.compile(rf"(?<![\w.])\d+(?:[.,]\d+)?\s*-?\s*{_UNIT}\b|(?<![\w.])\d+(?:\.\d+)?\s*(?:\"|''|”|″)", re.IGNORECASE)
+LEAST, MOST, PIECES = 6, 12, 3  # characters of an identifier, and runs that it may be broken into
 _SIZE = r"(\d+(?:\.\d+)?)\s*(gigabytes|gb|tb|mb|g|t)\b(?:\s+of\b)?"
 _DRIVE = r"(?:(?:m\.2|nvme|pcie|sata)\s+)*(?:ssd|solid\s+state\s+drive|storage|hdd|emmc|drive)\b"
 _RAM = r"(?:(?:lp)?ddr\d\w?(?:\s+\d+\s*mhz)?(?:\s+(?:ram|memory))?|ram|memory)\b"
 #: A size stands before or after its noun; what is read first, from the left, decides which of two sizes a noun in the middle belongs to.
 _SIZES = re.compile(rf"(?:(?:(?P<ram_>{_RAM})|(?P<drive_>{_DRIVE}))\s*:?\s*{_SIZE})|(?:{_SIZE}\s*(?:(?P<_ram>{_RAM})|(?P<_drive>{_DRIVE})))", re.IGNORECASE)
-_ANY_SIZE = re.compile(rf"(?<![\w.]){_SIZE}", re.IGNORECASE)
-
-
-def model_code(title: str, names: re.Pattern | None = None) -> str:
-    """The folded model code of a title, '' if it names none. Unbroken tokens go before joined ones.
-
-    Part numbers, sizes and what ``names`` matches (processors, graphics) are passed over.
-    """
-    text = _PART.sub(" | ", title)
-    text = _ANY_SIZE.sub(" | ", text)
-    if names is not None:
-        text = names.sub(" | ", text)
-    joined, pos = "", 0
-    while (m := _TOKEN.search(text, pos)) is not None:
-        first = re.split(r"[-_ ]", m[0], maxsplit=1)[0]
-        pos = m.start() + len(first)
-        for raw in dict.fromkeys((first, m[0])):
-            word = re.sub(r"[-_ ]", "", raw).upper()
-            if len(word) != 7 or not any(c.isdigit() for c in raw) or not any(c.isalpha() for c in raw):
-                continue
-            code = word.translate(_FOLD)
-            if not _CODE.match(code) or code.isdigit() and not any(c in "OIL" for c in word) or _NOT_CODE.search(word):
-                continue
-            if raw == first or " " not in raw:
-                return code
-            # across a blank, a word in title case isn't part of a code
-            if not re.search(r"(?:^| )[A-Z][a-z]+(?: |$)", raw):
-                joined = joined or code
-    return joined
-
-
-def part_number(title: str) -> str:
-    m = _PART.search(title.replace("\xa0", " "))
-    return re.sub(r"\D", "", m[0]) if m else ""
+
+
+def identifier(text: str) -> str:
+    """``text`` with look-alikes folded if it can be an identifier, else ''."""
+    if not LEAST <= len(text) <= MOST:
+        return ""
+    digits = sum(c.isdigit() for c in text)
+    if digits == len(text):
+        return text if digits > LEAST else ""
+    folded = text.upper().translate(_FOLD)
+    return folded if digits and sum(c.isdigit() for c in folded) >= 3 else ""
+
+
+def identifiers(title: str, names: Sequence[re.Pattern] = ()) -> tuple[set[str], set[str]]:
+    """(unbroken, broken by a blank) runs of a title that may be identifiers; ``names`` (processors, graphics) and measures are passed over."""
+    text = _MEASURE.sub(" | ", title)
+    for n in names:
+        text = n.sub(" | ", text)
+    runs = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    unbroken, broken = set(), set()
+    for i in range(len(runs)):
+        joined, tight = "", True
+        for j in range(i, min(i + PIECES, len(runs))):
+            run, start, _ = runs[j]
+            if j > i:
+                gap = text[runs[j - 1][2] : start]
+                if gap not in ("-", "_", ".", " "):
+                    break
+                tight &= gap != " "
+            if len(run) > 4 and not any(c.isdigit() for c in run):
+                break
+            joined += run
+            if name := identifier(joined):
+                (unbroken if tight else broken).add(name)
+    return unbroken, broken - unbroken
 
 
 def _gigabytes(value: str, unit: str) -> float:
@@ -135,10 +146,10 @@ def storage_gb(value: float | None, stated: int) -> int:
     return _power(value / 1024 if value >= 32_000 else value * 1024 if value < 16 else value)
 
 
-def name_pattern(names: list[str]) -> re.Pattern | None:
-    """Matches any of the names, whatever stands between their words."""
-    parts = sorted((r"[\W_]*".join(re.escape(w) for w in re.findall(r"[^\W_]+", n)) for n in names if n), key=len, reverse=True)
-    return re.compile(rf"(?<![^\W_])(?:{'|'.join(parts)})(?![^\W_])", re.IGNORECASE) if parts else None
+def name_patterns(names: list[str]) -> list[re.Pattern]:
+    """Match any of the names, whatever stands between their words; a pattern for every ``NAMES_BLOCK``, the longest names first."""
+    parts = sorted({r"[\W_]*".join(re.escape(w) for w in re.findall(r"[^\W_]+", n)) for n in names if n} - {""}, key=lambda p: (-len(p), p))
+    return [re.compile(rf"(?<![^\W_])(?:{'|'.join(parts[i : i + NAMES_BLOCK])})(?![^\W_])", re.IGNORECASE) for i in range(0, len(parts), NAMES_BLOCK)]
 
 
 class Makers:
@@ -167,19 +178,19 @@ class Makers:
         return hit
 
 
-def evidence(title: str | None, brand: str | None, ram: float | None, storage: float | None, makers: Makers, names: re.Pattern | None = None) -> tuple[int, str, str, int, int, list[str]]:
-    """(maker, code, part number, memory, storage, folded words of the title)."""
-    text = " ".join((title or "").split())
+def evidence(title: str | None, brand: str | None, ram: float | None, storage: float | None, makers: Makers, names: Sequence[re.Pattern] = ()) -> tuple[int, set[str], set[str], int, int, list[str]]:
+    """(maker, unbroken identifiers, broken ones, memory, storage, folded words of the title)."""
+    text = " ".join(unicodedata.normalize("NFKC", html.unescape(title or "")).split())
     words = re.findall(r"[^\W_]+", fold(text))
     stated = title_sizes(text)
-    return makers(brand, words), model_code(text, names), part_number(text), memory_gb(ram, stated[0]), storage_gb(storage, stated[1]), words
+    return makers(brand, words), *identifiers(text, names), memory_gb(ram, stated[0]), storage_gb(storage, stated[1]), words
 
 
 # ---------------------------------------------------------------- encoder
 
 
-def subwords(words: list[str], maker: int, code: str, part: str, ram: int, storage: int) -> np.ndarray:
-    """Hashed features: words, 3-grams of words with digits, maker, sizes, and codes in folded form with their 3- to 5-grams."""
+def subwords(words: list[str], maker: int, ram: int, storage: int) -> np.ndarray:
+    """Hashed features: words and their 4-grams, maker and sizes."""
     common = [f"w{w}" for w in words]
     for w in words:
         if len(w) > 4:
@@ -187,14 +198,13 @@ def subwords(words: list[str], maker: int, code: str, part: str, ram: int, stora
     if maker >= 0:
         common.append(f"m{maker}")
     common += [f"r{ram}", f"s{storage}", f"rs{ram}/{storage}"]
-    rare = []
-    for kind, name in (("c", code), ("p", part)):
-        if name:
-            rare.append(f"{kind}={name}")
-            rare += [f"{kind}{name[i : i + n]}" for n in (4, 5) for i in range(len(name) - n + 1)]
-    ids = {xxhash.xxh32_intdigest(f.encode()) % WORD_ROWS for f in common}
-    ids |= {WORD_ROWS + xxhash.xxh32_intdigest(f.encode()) % (FEATURES - WORD_ROWS) for f in rare}
-    return np.fromiter(ids, np.int64)
+    return np.fromiter({xxhash.xxh32_intdigest(f.encode("utf-8", "replace")) % WORD_ROWS for f in common}, np.int64)
+
+
+def code_subwords(codes: Sequence[str]) -> np.ndarray:
+    """Hashed features of possible identifiers: themselves and their 4- and 5-grams."""
+    rare = [f"={c}" for c in codes] + [c[i : i + n] for c in codes for n in (4, 5) for i in range(len(c) - n + 1)]
+    return np.fromiter({WORD_ROWS + xxhash.xxh32_intdigest(f.encode()) % (FEATURES - WORD_ROWS) for f in rare}, np.int64)
 
 
 def encode(features: list[np.ndarray], table: np.ndarray) -> np.ndarray:
@@ -244,34 +254,32 @@ def train(features: list[np.ndarray], labels: np.ndarray, idf: np.ndarray, seed:
     return table
 
 
-def _sample(listings: DataFrame, key: str) -> DataFrame:
-    """At most TRAIN_ROWS listings drawn by hash of code (or part) and sizes: listings of one product come in together, at any number of rows."""
-    label = F.xxhash64(F.when(F.col("code") != 0, F.col("code")).otherwise(F.col("part")), "ram", "storage")
-    within = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(key), key))
-    drawn = listings.withColumn("label", label).withColumn("within", within).where(F.col("within") <= GROUP_ROWS)
-    return drawn.orderBy("label", "within").limit(TRAIN_ROWS)
+def _sample(listings: DataFrame, key: str, n: int) -> DataFrame:
+    """At most TRAIN_ROWS listings, those whose identifier and sizes have a hash under a threshold: listings of one product come in together, at any number of rows."""
+    label = F.xxhash64(F.coalesce(F.array_min("ids"), F.xxhash64(key)), "ram", "storage")
+    some = drawn(listings.withColumn("label", label), "label", TRAIN_ROWS, n)
+    within = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(key), key))  # a group limit acts before the shuffle
+    return some.withColumn("within", within).where(F.col("within") <= GROUP_ROWS).select("label", "features").limit(TRAIN_ROWS)
 
 
 def _fitted(listings: DataFrame, key: str, counts: np.ndarray, n: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
     """(table in half precision, centroids), trained in one task on ``_sample``; only the result returns to the driver."""
     idf = np.log((1000 + n) / (1 + counts))  # smoothed, so that in a small collection a shared code isn't a common word
-    sample = _sample(listings, key).select("code", "part", "ram", "storage", "features")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, rows = [], []
+        labels, features = [], []
         for batch in batches:
-            features += [np.asarray(f, np.int64) for f in batch.column(4).to_pylist()]
-            rows.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1))
-        labels = np.zeros(0, np.int64)
-        if features:
-            code, part, ram, storage = np.concatenate(rows).T
-            labels = np.unique(np.stack([np.where(code != 0, code, part), ram, storage], axis=1), axis=0, return_inverse=True)[1].ravel()
-        table = train(features, labels, idf).astype("<f2")
+            labels.append(batch.column(0).to_numpy())
+            features += [np.asarray(f, np.int64) for f in batch.column(1).to_pylist()]
+        label = np.concatenate(labels) if labels else np.zeros(0, np.int64)
+        order = np.argsort(label, kind="stable")
+        features = [features[i] for i in order]
+        table = train(features, np.unique(label[order], return_inverse=True)[1].ravel(), idf).astype("<f2")
         centres = fit_centroids(encode(features, table), lists)
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([centres.astype("<f4").tobytes()])], names=["table", "centres"])
 
-    row = sample.coalesce(1).mapInArrow(fit, "table binary, centres binary").first()
-    if row is None:
+    row = _sample(listings, key, n).coalesce(1).mapInArrow(fit, "table binary, centres binary").first()
+    if row is None or not row["centres"]:
         return np.zeros((FEATURES, WIDTH), "<f2"), np.zeros((1, WIDTH), "<f4")
     return np.frombuffer(row["table"], "<f2").reshape(FEATURES, WIDTH), np.frombuffer(row["centres"], "<f4").reshape(-1, WIDTH)
 
@@ -279,27 +287,54 @@ def _fitted(listings: DataFrame, key: str, counts: np.ndarray, n: int, lists: in
 # ---------------------------------------------------------------- search
 
 
-def compatible(left: dict[str, np.ndarray], i: np.ndarray, right: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (left[i], right[j]) no veto hits."""
-    a = {c: v[i] for c, v in left.items()}
-    b = {c: v[j] for c, v in right.items()}
-    ok = (a["ram"] == b["ram"]) & (a["storage"] == b["storage"])
-    ok &= (a["maker"] == b["maker"]) | (a["maker"] < 0) | (b["maker"] < 0)
-    coded = (a["code"] != 0) & (b["code"] != 0)
-    same_code = coded & (a["code"] == b["code"])
-    same_part = (a["part"] != 0) & (a["part"] == b["part"])
-    return ok & (same_code | (~coded & same_part))
+_COLUMNS = ("maker", "named", "ram", "storage")
 
 
-_COLUMNS = ("maker", "code", "part", "ram", "storage")
+def facts(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """What vetoes look at: the columns, and the identifiers, padded with 0."""
+    out = {c: pdf[c].to_numpy(np.int64) for c in _COLUMNS}
+    for c in ("ids", "maybe"):
+        most = max(map(len, pdf[c]), default=0)
+        out[c] = np.array([[*x, *[0] * (most - len(x))] for x in pdf[c]], np.int64).reshape(len(pdf), most)
+    return out
 
 
-def _vectors(bytes_column) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes_column), "<f2").reshape(-1, WIDTH).astype(np.float32)
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x[:, :, None] == y[:, None, :]) & (x != 0)[:, :, None]).any(axis=(1, 2))
+
+
+def compatible(left: dict[str, np.ndarray], i: np.ndarray, right: dict[str, np.ndarray], j: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+    """Which of the pairs (left[i], right[j]) no veto hits."""
+    at = np.flatnonzero((left["ram"][i] == right["ram"][j]) & (left["storage"][i] == right["storage"][j]))
+    a, b = left["maker"][i[at]], right["maker"][j[at]]
+    at = at[(a == b) | (a < 0) | (b < 0)]
+    shared = _common(left["ids"][i[at]], right["ids"][j[at]])
+    ok = np.zeros(len(i), bool)
+    ok[at[shared]] = True
+    # where one has no identifier
+    at = at[~shared & ((left["named"][i[at]] == 0) | (right["named"][j[at]] == 0)) & (similarity[at] >= ALIKE)]
+    x, y = left["maybe"][i[at]], right["maybe"][j[at]]
+    nothing = ~(x != 0).any(1) | ~(y != 0).any(1)
+    ok[at] = np.where(nothing, similarity[at] >= BLIND, _common(x, y))
+    return ok
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of ``a`` and ``b`` in ``label``, where each node bears its component's least node."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label[:] = label[label]
+        if (label == before).all():
+            return
 
 
-def _number(name: str) -> int:
-    return xxhash.xxh64_intdigest(name.encode()) >> 1 | 1 if name else 0
+def _vectors(bytes_column) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes_column), "<f2").reshape(-1, WIDTH).astype(np.float32)
 
 
 class SameProduct:
@@ -308,81 +343,109 @@ class SameProduct:
     def __init__(self, df: DataFrame, key: str, order: str, reference: DataFrame, probes: int | None = None):
         spark = df.sparkSession
         self.key = key
-        kind = df.schema[key].dataType.simpleString()
+        self.kind = df.schema[key].dataType.simpleString()
         rows = latest(df, key, order, ["title", "brand", "ram_gb", "storage_gb"])
-        # the reference list is broadcast as a dictionary: its size is checked
-        entries = [(r.ref_id, r.canonical_value) for r in reference.where("field_name = 'brand' AND canonical_value IS NOT NULL").limit(100_001).collect()]
-        if len(entries) > 100_000:
-            raise ValueError("more than 100,000 makers: map brands with canonical.resolve first")
-        parts = [r.canonical_value for r in reference.where("field_name IN ('cpu_family', 'gpu_model') AND canonical_value IS NOT NULL").limit(10_001).collect()]
-        sent = spark.sparkContext.broadcast((entries, parts[:10_000]))
-        schema = f"{key} {kind}, maker long, code long, part long, ram int, storage int, features array<int>"
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            makers, names = Makers(sent.value[0]), name_pattern(sent.value[1])
-            for batch in batches:
-                found = [evidence(*r, makers, names) for r in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
-                features = [subwords(words, maker, code, part, ram, storage).astype(np.int32) for maker, code, part, ram, storage, words in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([_number(f[1]) for f in found], pa.int64()),
-                        pa.array([_number(f[2]) for f in found], pa.int64()),
-                        pa.array([f[3] for f in found], pa.int32()),
-                        pa.array([f[4] for f in found], pa.int32()),
-                        pa.array(features, pa.list_(pa.int32())),
-                    ],
-                    names=[key, *_COLUMNS, "features"],
-                )
-
-        listings = staged(rows.mapInArrow(read, schema), "listings-evidence")
-        listings = listings.where("ram > 0 AND storage > 0 AND (code <> 0 OR part <> 0)")
+        read = staged(self._read(rows, reference), "listings-read").where("ram > 0 AND storage > 0")
+        # equal listings are one for the search, and a star beside it
+        copies = read.groupBy("copy").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        stars = join_hot(read.select("copy", F.col(key).alias("b")), copies, ["copy"], F.col("n") > F.lit(max(1000, int(HOT * read.count())))).where("b <> first").select(F.col("first").alias("a"), "b")
+        stars = staged(stars, "listings-copies")
+        listings = staged(self._named(read.join(stars.select(F.col("b").alias(key)), key, "left_anti")), "listings-evidence")
         n = listings.count()
         frequency = listings.select(F.explode("features").alias("f")).groupBy("f").count().toPandas()  # at most FEATURES rows
         counts = np.zeros(FEATURES, np.int64)
-        counts[frequency["f"].to_numpy()] = frequency["count"].to_numpy()
+        counts[frequency["f"].to_numpy(dtype=np.int64)] = frequency["count"].to_numpy(dtype=np.int64)
         # listings of other memory or storage are vetoed anyway: lists lie within strata of equal sizes, and the largest sets their number
         largest = listings.groupBy("ram", "storage").count().agg(F.max("count")).first()[0] or 0
         lists = int(min(MAX_LISTS, max(1, round(largest / LIST_AIM))))
         table, centres = _fitted(listings, key, counts, n, lists)
         model = spark.sparkContext.broadcast((table, centres))
         most = min(max(FIRST_LISTS, probes or 0), max(1, len(centres)))
+        passed = [key, "ids", "maybe", *_COLUMNS]
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, centres = model.value
             for batch in batches:
                 if batch.num_rows:
-                    v = encode([np.asarray(f, np.int64) for f in batch.column(6).to_pylist()], table)
+                    v = encode([np.asarray(f, np.int64) for f in batch.column(len(passed)).to_pylist()], table)
                     near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :most].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[:6], pa.array([r.tobytes() for r in v.astype("<f2")], pa.binary()), pa.array(list(near))], names=[key, *_COLUMNS, "v", "lists"]
-                    )
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array([r.tobytes() for r in v.astype("<f2")], pa.binary()), pa.array(list(near))], names=[*passed, "v", "lists"])
 
         while True:
-            placed = staged(listings.mapInArrow(place, f"{schema.rsplit(',', 1)[0]}, v binary, lists array<int>"), "listings-placed")
-            self.probes, self.recall = self._tuned(placed, most) if probes is None else (min(probes, most), None)
+            schema = f"{key} {self.kind}, ids array<long>, maybe array<long>, maker long, named int, ram int, storage int, v binary, lists array<int>"
+            placed = staged(listings.select(*passed, "features").mapInArrow(place, schema), "listings-placed")
+            self.probes, self.recall = self._tuned(placed, most, n) if probes is None else (min(probes, most), None)
             if self.recall is None or self.recall >= TUNED_RECALL or most >= len(centres):
                 break
             most = min(4 * most, len(centres))
-        self.links = staged(self._search(placed, self.probes), "listings-links")
+        self.links = staged(self._search(placed, self.probes).unionByName(stars), "listings-links")
+
+    def _read(self, rows: DataFrame, reference: DataFrame) -> DataFrame:
+        """(key, maker, unbroken, broken, ram, storage, copy, features)."""
+        key, spark = self.key, rows.sparkSession
+        # the reference lists are broadcast: their size is checked
+        known = reference.where("canonical_value IS NOT NULL AND field_name IN ('brand', 'cpu_family', 'gpu_model')").select("ref_id", "field_name", "canonical_value").limit(MOST_NAMES + 1).collect()
+        if len(known) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} reference names: map brands with canonical.resolve first and pass fewer component names")
+        sent = spark.sparkContext.broadcast(([(r.ref_id, r.canonical_value) for r in known if r.field_name == "brand"], [r.canonical_value for r in known if r.field_name != "brand"]))
+        schema = f"{key} {self.kind}, maker long, unbroken array<string>, broken array<string>, ram int, storage int, copy long, features array<int>"
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            makers, names = Makers(sent.value[0]), name_patterns(sent.value[1])
+            for batch in batches:
+                found = [evidence(*r, makers, names) for r in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+                columns = [
+                    pa.array([f[0] for f in found], pa.int64()), pa.array([sorted(f[1]) for f in found], pa.list_(pa.string())), pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())),
+                    pa.array([f[3] if f[5] else 0 for f in found], pa.int32()), pa.array([f[4] if f[5] else 0 for f in found], pa.int32()),
+                    pa.array([xxhash.xxh64_intdigest(f"{f[0]}/{f[3]}/{f[4]}/{' '.join(f[5])}".encode("utf-8", "replace")) - (1 << 63) for f in found], pa.int64()),
+                    pa.array([subwords(f[5], f[0], f[3], f[4]).astype(np.int32) for f in found], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "maker", "unbroken", "broken", "ram", "storage", "copy", "features"])
+
+        return rows.mapInArrow(read, schema)
+
+    def _named(self, read: DataFrame) -> DataFrame:
+        """``read`` with ids (identifiers that other listings share and the collection bears out), named (1 where any unbroken run may be one) and the features of what several listings hold."""
+        key = self.key
+        each = lambda column, firm: read.select(F.explode(column).alias("id"), key, "maker", F.lit(firm).alias("firm"))
+        held = each("unbroken", 1).unionByName(each("broken", 0))
+        by_maker = held.groupBy("id", "maker").agg(F.count(F.lit(1)).alias("n"), F.sum("firm").alias("firm"))
+        known = F.when(F.col("maker") >= 0, F.col("n"))
+        ids = by_maker.groupBy("id").agg(F.sum("n").alias("n"), F.sum("firm").alias("firm"), F.sum(known).alias("known"), F.max(known).alias("top"))
+        good = F.coalesce(F.col("top") >= ONE_MAKER * F.col("known"), F.lit(True))
+        ids = staged(ids.where(good & (F.col("n") > 1)).select("id", "n", (F.col("firm") > 0).alias("firm")), "listings-identifiers")
+        own = join_hot(held.select("id", key), ids, ["id"], F.col("n") > F.lit(max(1000, int(HOT * read.count()))))
+        # a title's own
+        shared = own.groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("codes"), F.array_sort(F.collect_set(F.when(F.col("firm"), F.xxhash64("id")))).alias("ids"))
+        out = read.join(shared, key, "left").withColumns({"codes": F.coalesce("codes", F.array().cast("array<string>")), "ids": F.coalesce("ids", F.array().cast("array<long>"))})
+        named = ((F.size("unbroken") > 0) | (F.size("ids") > 0)).cast("int").alias("named")
+        passed = [key, "ids", "maybe", *_COLUMNS]
+
+        def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                features = [np.r_[np.asarray(f, np.int32), code_subwords(c).astype(np.int32)] for f, c in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(features, pa.list_(pa.int32()))], names=[*passed, "features"])
+
+        maybe = F.transform(F.array_union("unbroken", "broken"), lambda c: F.xxhash64(c)).alias("maybe")
+        return out.select(key, "ids", maybe, "maker", named, "ram", "storage", "features", "codes").mapInArrow(extend, f"{key} {self.kind}, ids array<long>, maybe array<long>, maker long, named int, ram int, storage int, features array<int>")
 
-    def _tuned(self, placed: DataFrame, most: int) -> tuple[int, float]:
+    def _tuned(self, placed: DataFrame, most: int, n: int) -> tuple[int, float]:
         """The least number of probes that finds the sample's exact neighbours, searched for in all rows."""
         key = self.key
-        asked = placed.orderBy(F.xxhash64(key, F.lit(1))).limit(TUNE_QUERIES).toPandas()
+        asked = drawn(placed, key, TUNE_QUERIES, n, 1).toPandas()
         if not len(asked):
             return 1, 1.0
         spark = placed.sparkSession
-        sent = spark.sparkContext.broadcast((_vectors(asked["v"]), {c: asked[c].to_numpy(np.int64) for c in _COLUMNS}, asked[key].to_numpy(), np.stack(asked["lists"])))
+        sent = spark.sparkContext.broadcast((_vectors(asked["v"]), facts(asked), asked[key].to_numpy(), np.stack(asked["lists"])))
 
         def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q, veto, keys, lists = sent.value
             for whole in batches:
                 for start in range(0, len(whole), 2000):
                     pdf = whole.iloc[start : start + 2000]
-                    i, j = np.nonzero(q @ _vectors(pdf["v"]).T >= SIMILARITY)
-                    ok = compatible(veto, i, {c: pdf[c].to_numpy(np.int64) for c in _COLUMNS}, j) & (keys[i] != pdf[key].to_numpy()[j])
+                    s = q @ _vectors(pdf["v"]).T
+                    i, j = np.nonzero(s >= SIMILARITY)
+                    ok = compatible(veto, i, facts(pdf), j, s[i, j]) & (keys[i] != pdf[key].to_numpy()[j])
                     i, j = i[ok], j[ok]
                     own = np.stack(pdf["lists"])
                     # mutual neighbours: the later of the two ranks counts
@@ -390,9 +453,9 @@ class SameProduct:
                     rank = np.where(there.any(1) & back.any(1), np.maximum(there.argmax(1), back.argmax(1)), most)
                     yield pd.DataFrame({"rank": rank})
 
-        found = placed.select(key, *_COLUMNS, "v", "lists").mapInPandas(ranks, "rank int").groupBy("rank").count().toPandas()
+        found = placed.select(key, "ids", "maybe", *_COLUMNS, "v", "lists").mapInPandas(ranks, "rank int").groupBy("rank").count().toPandas()
         by_rank = np.zeros(most + 1, np.int64)
-        by_rank[found["rank"]] = found["count"]
+        by_rank[found["rank"].to_numpy(dtype=np.int64)] = found["count"].to_numpy(dtype=np.int64)
         share = np.cumsum(by_rank)[:-1] / max(1, by_rank.sum())
         enough = np.flatnonzero(share >= TUNED_RECALL)
         # a sample's last misses are few, and one lost link can part a group: some probes to spare
@@ -400,23 +463,23 @@ class SameProduct:
         return probes, float(share[probes - 1]) if by_rank.sum() else 1.0
 
     def _search(self, placed: DataFrame, probes: int) -> DataFrame:
+        """(a, b): in each block of a list a star for each group that its mutual, compatible pairs form."""
         key = self.key
-        kind = placed.schema[key].dataType.simpleString()
-        home = F.col("lists")[0]
+        placed = placed.withColumn("lists", F.slice("lists", 1, probes)).withColumn("home", F.col("lists")[0])
         cell = ["ram", "storage", "list"]
-        sizes = placed.withColumn("list", home).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("stored_blocks"))
-        asks = placed.withColumn("list", F.explode(F.slice("lists", 1, probes))).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / (4 * LIST_ROWS)).cast("int").alias("asked_blocks"))
+        sizes = placed.withColumn("list", F.col("home")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("stored_blocks"))
+        asks = placed.withColumn("list", F.explode("lists")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / (4 * LIST_ROWS)).cast("int").alias("asked_blocks"))
         grid = sizes.join(asks, cell)  # a row per list; the planner broadcasts it while it is small
-        columns = [key, *_COLUMNS, "v"]
+        columns = [key, "ids", "maybe", *_COLUMNS, "v", "lists", "home"]
         # a list is a grid of stored by asking blocks
         stored = (
-            placed.withColumn("list", home)
+            placed.withColumn("list", F.col("home"))
             .join(grid, cell)
             .withColumn("i", F.pmod(F.xxhash64(key), F.col("stored_blocks")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asked_blocks") - 1)))
         )
         asked = (
-            placed.withColumn("list", F.explode(F.slice("lists", 1, probes)))
+            placed.withColumn("list", F.explode("lists"))
             .join(grid, cell)
             .withColumn("j", F.pmod(F.xxhash64(key), F.col("asked_blocks")).cast("int"))
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1)))
@@ -425,23 +488,24 @@ class SameProduct:
 
         def scan(pdf: pd.DataFrame) -> pd.DataFrame:
             s, q = pdf[pdf["is_stored"]], pdf[~pdf["is_stored"]]
-            x, veto = _vectors(s["v"]), {c: s[c].to_numpy(np.int64) for c in _COLUMNS}
-            keys, own = s[key].to_numpy(), q[key].to_numpy()
-            a, b = [], []
+            x, veto = _vectors(s["v"]), facts(s)
+            # the list that is asked here is the stored side's home; a pair is mutual if the asking side's home is among the stored side's lists
+            back = np.stack(s["lists"]) if len(s) else np.zeros((0, 1), np.int32)
+            keys, node = np.unique(np.concatenate([s[key].to_numpy(), q[key].to_numpy()]), return_inverse=True)
+            label = np.arange(len(keys))
             for k in range(0, len(q), 1024):
                 part = q.iloc[k : k + 1024]
-                i, j = np.nonzero(_vectors(part["v"]) @ x.T >= SIMILARITY)
-                ok = compatible({c: part[c].to_numpy(np.int64) for c in _COLUMNS}, i, veto, j)
-                a.append(own[k + i[ok]])
-                b.append(keys[j[ok]])
-            out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []})
-            return out[out["a"] != out["b"]]
-
-        found = both.groupBy(*cell, "i", "j").applyInPandas(scan, f"a {kind}, b {kind}")
-        # mutual neighbours: each of the two finds the other
-        low, high = F.least("a", "b"), F.greatest("a", "b")
-        sides = found.groupBy(low.alias("x"), high.alias("y")).agg(F.max(F.col("a") < F.col("b")).alias("up"), F.max(F.col("a") > F.col("b")).alias("down"))
-        return sides.where("up AND down").select(F.col("x").alias("a"), F.col("y").alias("b"))
+                similar = _vectors(part["v"]) @ x.T
+                i, j = np.nonzero(similar >= SIMILARITY)
+                a, b = node[len(s) + k + i], node[j]
+                ok = (a != b) & (back[j] == part["home"].to_numpy()[i, None]).any(1)
+                i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+                ok = compatible(facts(part), i, veto, j, similar[i, j])
+                merge(label, a[ok], b[ok])
+            apart = np.flatnonzero(label != np.arange(len(keys)))
+            return pd.DataFrame({"a": keys[label[apart]], "b": keys[apart]})
+
+        return both.groupBy(*cell, "i", "j").applyInPandas(scan, f"a {self.kind}, b {self.kind}").distinct()
 
     def groups(self) -> DataFrame:
         """(key, group_id) of each listing that has a partner."""

@@ -5,12 +5,12 @@ README has the figures. Texts of this kind lie at distances of 0.9 to 1 from any
 nearly every text would be replicated into every region. The regions used instead are those of rare shingles, which partition the same
 space exactly, and the windows are bounds on the symmetric difference, itself a metric:
 
-1. A bounded table of counts (2**20 cells, summed over all texts) orders the shingles from rare to common, ties by hash.
+1. A bounded table of counts (2**20 to 2**24 cells by the length of all texts, summed over all texts) orders the shingles from rare to common, ties by hash.
 2. Two sets of Jaccard similarity t share one of the first ``n - ceil(t n) + 1`` shingles of each in that order; each text is replicated to
    the regions of those shingles and to no others.
 3. Inside a region, pairs must pass the length, the position and the sketch window: a parity sketch of 128 or 256 bits changes by at most one
    bit per differing shingle, so two texts whose sketches differ in more bits than the largest allowed symmetric difference are no pair.
-   A region's pairs are compared in vectorised blocks; the region of a shingle counted more than ``HOT`` times is split into a triangular
+   A region's pairs are compared in vectorised blocks; the region of a shingle counted more than ``HOT`` times (four times the mean of a cell where that is more) is split into a triangular
    grid of block pairs, each a region of its own, so a hot region becomes many tasks and still meets every pair once.
 4. What passes is verified exactly on the shingle sets.
 
@@ -30,18 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.llm.words import WORD, Hasher, mix, shingles
 from cataloom.operators.components import components
-from cataloom.session import staged
+from cataloom.session import join_hot, staged
 
 THRESHOLD, SIZE, MIN_WORDS = 0.6, 3, 40
-CELL_BITS = 20
-CELLS = 1 << CELL_BITS
+CELL_BITS, MOST_BITS, CELL_LOAD = 20, 24, 4096  # of the table of counts: at least, at most (64 MB), shingles a cell aimed at
 BLOCK = 1 << 14
 HOT = 20_000
+PART_BYTES, ENTRY_BYTES = 48 << 20, 56  # of a part of the join, and of an entry with its text's record
+HOT_CLASS = 0.001  # classes with a larger share of the members are joined by broadcast
 WIDE = 70  # texts with more shingles carry 256 bits instead of 128
 
 
@@ -100,24 +101,29 @@ def sketches(start: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out.reshape(n, 4)
 
 
-def cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(8)).astype(np.int64) & (CELLS - 1)
+def cell(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h >> np.uint64(8)).astype(np.int64) & (cells - 1)
+
+
+def cell_count(characters: int) -> int:
+    """Cells for texts of so many characters in all, at six a shingle."""
+    return 1 << min(MOST_BITS, max(CELL_BITS, math.ceil(math.log2(max(1, characters / 6 / CELL_LOAD)))))
 
 
 # ---------------------------------------------------------------- pass 0: classes and counts
 
 
-def _census(df: DataFrame, key: str, text: str, order: str, size: int, min_words: int) -> DataFrame:
+def _census(df: DataFrame, key: str, text: str, order: str, size: int, min_words: int, cells: int) -> DataFrame:
     """Rows of kind 0 (key, order, class) and of kind 1 (block of cells, counts)."""
     schema = f"kind int, {key} {df.schema[key].dataType.simpleString()}, at {df.schema[order].dataType.simpleString()}, class long, block int, counts binary"
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = Hasher(), np.zeros(CELLS, np.int64)
+        hasher, total = Hasher(), np.zeros(cells, np.int64)
         types = None
         for batch in batches:
             types = types or [batch.schema.field(0).type, batch.schema.field(1).type]
             rows, start, h = shingle_sets(batch.column(2).to_pylist(), hasher, size, min_words)
-            total += np.bincount(cell(h), minlength=CELLS)
+            np.add.at(total, cell(h, cells), 1) if len(h) < cells // 64 else np.add(total, np.bincount(cell(h, cells), minlength=cells), out=total)
             at = pa.array(rows, pa.int64())
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
@@ -126,7 +132,7 @@ def _census(df: DataFrame, key: str, text: str, order: str, size: int, min_words
             )
         if types is None:
             return
-        blocks = [b for b in range(CELLS // BLOCK) if total[b * BLOCK : (b + 1) * BLOCK].any()]
+        blocks = [b for b in range(cells // BLOCK) if total[b * BLOCK : (b + 1) * BLOCK].any()]
         n = len(blocks)
         yield pa.RecordBatch.from_arrays(
             [
@@ -139,7 +145,7 @@ def _census(df: DataFrame, key: str, text: str, order: str, size: int, min_words
     return df.select(key, order, text).mapInArrow(mapped, schema)
 
 
-def _sum_cells(census: DataFrame) -> np.ndarray:
+def _sum_cells(census: DataFrame, count: int) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.uint64)
         for c in pdf["counts"]:
@@ -149,8 +155,8 @@ def _sum_cells(census: DataFrame) -> np.ndarray:
     # every 64 tasks' counts are added before the last sum, so no task holds more than the square root of all of them
     some = census.where("kind = 1").select("block", "counts").withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int"))
     partly = some.groupBy("block", "part").applyInPandas(lambda p: add(p.drop(columns="part")), "block int, counts binary")
-    cells = np.zeros(CELLS, np.uint32)
-    for r in partly.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # at most 64 rows of 64 KB
+    cells = np.zeros(count, np.uint32)
+    for r in partly.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():  # at most 1,024 rows of 64 KB
         cells[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint32)
     return cells
 
@@ -166,7 +172,7 @@ def replicas(start: np.ndarray, h: np.ndarray, cells: np.ndarray, threshold: flo
     """(owner, position, shingle) of the prefix of each set in the order of rarity."""
     n = np.diff(start)
     owner = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, cells[cell(h)], owner))
+    order = np.lexsort((h, cells[cell(h, len(cells))], owner))
     position = np.arange(len(h)) - np.repeat(start[:-1], n)
     keep = position < np.repeat(prefix_lengths(n, threshold), n)
     return owner[keep], position[keep], h[order][keep]
@@ -226,11 +232,36 @@ def unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (ids, ns, narrows, wides, regions, texts, positions))
 
 
+def in_grid(owner: np.ndarray, position: np.ndarray, shingle: np.ndarray, ids: np.ndarray, heat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries with those of hot regions (``heat`` over 1) replicated: the text in block i goes to row and column i of a triangular grid of ``heat`` blocks a side."""
+    times = np.maximum(heat, 1)
+    at = np.repeat(np.arange(len(owner)), times)
+    j = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    owner, position, shingle, side = owner[at], position[at], shingle[at], times[at]
+    hot = side > 1
+    i = (mix(ids[owner[hot]].view(np.uint64)) % side[hot].astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(i, j[hot]), np.maximum(i, j[hot])
+    shingle[hot] = mix(shingle[hot] + (low * 1_000_003 + high + 1).astype(np.uint64))
+    return owner, position, shingle
+
+
+def part_ids(spark: SparkSession, parts: int) -> np.ndarray:
+    """An id for each part, chosen so that hash partitioning puts each into a partition of its own."""
+    ids = spark.range(24 * parts).select(F.col("id").cast("int").alias("id"))
+    rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("at")).agg(F.min("id").alias("id")).collect()  # a number a part
+    out = np.arange(parts) + 24 * parts  # where none was found, any
+    for r in rows:
+        out[r["at"]] = r["id"]
+    return out
+
+
 def _replicated(df: DataFrame, text: str, cells: np.ndarray, parts: int, threshold: float, size: int, min_words: int) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(cells)  # 4 MB, whatever the corpus
+    sent = df.sparkSession.sparkContext.broadcast(cells)  # 4 to 64 MB
+    ids_of_parts = part_ids(df.sparkSession, parts)
+    hottest = max(HOT, int(4 * cells.sum(dtype=np.float64) / len(cells)))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = Hasher(), np.zeros(0, np.int64)
+        hasher, known = Hasher(), set()
         counts = sent.value
         for batch in batches:
             rows, start, h = shingle_sets(batch.column(0).to_pylist(), hasher, size, min_words)
@@ -238,30 +269,18 @@ def _replicated(df: DataFrame, text: str, cells: np.ndarray, parts: int, thresho
             # a class leaves a task once, so copies held by a third of the rows arrive once per task
             _, first = np.unique(ids, return_index=True)
             fresh = np.zeros(len(ids), bool)
-            fresh[first] = True
-            fresh &= ~np.isin(ids, known)
-            known = np.union1d(known, ids)
+            fresh[[i for i in first if int(ids[i]) not in known]] = True
+            known.update(ids[fresh].tolist())
             n = np.diff(start)
             h = h[np.repeat(fresh, n)]
             ids, n = ids[fresh], n[fresh]
             start = np.r_[0, np.cumsum(n)]
             owner, position, shingle = replicas(start, h, counts, threshold)
             # a hot region becomes a triangular grid: the text in block i goes to the grid's row and column i
-            heat = -(-counts[cell(shingle)].astype(np.int64) // HOT)
-            hot = heat > 1
-            o, p, s = [owner[~hot]], [position[~hot]], [shingle[~hot]]
-            for k in np.flatnonzero(hot):
-                side = int(heat[k])
-                i = int(mix(ids[owner[k] : owner[k] + 1].view(np.uint64))[0] % np.uint64(side))
-                for j in range(side):
-                    low, high = min(i, j), max(i, j)
-                    o.append(owner[k : k + 1])
-                    p.append(position[k : k + 1])
-                    s.append(mix(shingle[k : k + 1] + np.uint64(low * 1_000_003 + high + 1)))
-            owner, position, shingle = np.concatenate(o), np.concatenate(p), np.concatenate(s)
+            owner, position, shingle = in_grid(owner, position, shingle, ids, -(-counts[cell(shingle, len(counts))].astype(np.int64) // hottest))
             part = (shingle.astype(np.uint32) % np.uint32(parts)).astype(np.int64)
             blobs = list(pack(owner, position, shingle, part, ids, n, sketches(start, h)))
-            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids_of_parts[b[0]] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["part", "blob"])
 
     return df.select(text).mapInArrow(mapped, "part int, blob binary")
 
@@ -332,12 +351,12 @@ def region_pairs(blobs: list[bytes], threshold: float, chunk: int = 2_000_000) -
     return pairs[:, 0], pairs[:, 1]
 
 
-def _candidates(replicated: DataFrame, threshold: float) -> DataFrame:
+def _candidates(replicated: DataFrame, threshold: float, parts: int) -> DataFrame:
     def join(table: pa.Table) -> pa.Table:
         a, b = region_pairs([x.as_py() for x in table.column("blob")], threshold)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return replicated.groupBy("part").applyInArrow(join, "a long, b long").distinct()
+    return replicated.repartition(parts, "part").groupBy("part").applyInArrow(join, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- pass 3: verification
@@ -381,12 +400,15 @@ class NearDuplicates:
         spark = df.sparkSession
         self.key = key
         df = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-        census = staged(_census(df, key, text, order, size, min_words), "neardup-census")
-        cells = _sum_cells(census)
+        count = cell_count(df.agg(F.sum(F.length(text))).first()[0] or 0)
+        census = staged(_census(df, key, text, order, size, min_words, count), "neardup-census")
+        cells = _sum_cells(census, count)
         rank = F.struct(F.col("at"), F.col("class"))
-        self.members = census.where("kind = 0").groupBy(key).agg(F.max_by("class", rank).alias("class"))
-        parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        candidates = staged(_candidates(_replicated(df, text, cells, parts, threshold, size, min_words), threshold), "neardup-candidates")
+        self.members = staged(census.where("kind = 0").groupBy(key).agg(F.max_by("class", rank).alias("class")), "neardup-members")
+        # a part is what one task joins: their number follows the bytes
+        entries = (1 - threshold) * float(cells.sum(dtype=np.float64))
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries * ENTRY_BYTES / PART_BYTES))
+        candidates = staged(_candidates(_replicated(df, text, cells, parts, threshold, size, min_words), threshold, parts), "neardup-candidates")
         named = candidates.select(F.col("a").alias("class")).unionByName(candidates.select(F.col("b").alias("class"))).distinct()
         wanted = staged(self.members.join(named, "class", "left_semi").groupBy("class").agg(F.min(key).alias(key)), "neardup-wanted")
         sets = staged(_sets_of(df, key, text, wanted, size, min_words), "neardup-sets")
@@ -404,12 +426,15 @@ class NearDuplicates:
         """(<key>_a, <key>_b), a < b: all pairs of keys, those within a class included. Large classes are salted."""
         key = self.key
         sizes = self.members.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("salts"))
-        sized = self.members.join(sizes, "class")
+        sized = join_hot(self.members, sizes, ["class"], F.col("salts") > 1000)
         a = sized.select(F.col("class").alias("ca"), F.col(key).alias("ka"), F.pmod(F.xxhash64(key), F.col("salts")).cast("int").alias("salt"))
         b = sized.select(F.col("class").alias("ca"), F.col(key).alias("kb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         same = a.join(b, ["ca", "salt"]).where("ka < kb").select("ka", "kb")
-        links = self.links.select("a", "b").join(self.members.select(F.col("class").alias("a"), F.col(key).alias("ka")), "a")
-        other = links.join(self.members.select(F.col("class").alias("b"), F.col(key).alias("kb")), "b").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
+        # a link meets its classes' members in blocks of a thousand as well
+        block = lambda c, k: sized.select(F.col("class").alias(c), F.col(key).alias(k), F.pmod(F.xxhash64(key), F.col("salts")).cast("int").alias(f"{c}_salt"))
+        every = lambda df, c: df.join(sizes.select(F.col("class").alias(c), "salts"), c).withColumn(f"{c}_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        links = every(every(self.links.select("a", "b"), "a"), "b")
+        other = links.join(block("a", "ka"), ["a", "a_salt"]).join(block("b", "kb"), ["b", "b_salt"]).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
         return same.unionByName(other).select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"))
 
     def groups(self) -> DataFrame:
@@ -417,8 +442,8 @@ class NearDuplicates:
         links = staged(self.links.select("a", "b"), "neardup-links")
         group = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component").alias("group_id"))
         degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-        return (
-            self.members.join(group, "class", "left")
-            .join(degree, "class", "left")
-            .select(self.key, F.coalesce("group_id", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-        )
+        sizes = self.members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+        total = self.members.agg(F.count(F.lit(1)).alias("total"))
+        classes = sizes.join(group, "class", "left").join(degree, "class", "left").crossJoin(F.broadcast(total))  # one row
+        classes = classes.select("class", F.coalesce("group_id", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("n") > HOT_CLASS * F.col("total")).alias("hot"))
+        return join_hot(self.members, classes, ["class"], F.col("hot")).select(self.key, "group_id", "links")

@@ -447,6 +447,13 @@ def test_plain_words():
     assert plain_words(None) == [] and len(shingles(Hasher().words(["a", "b"]), 3)) == 0
 
 
+def test_leaks_with_text_ids(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([("d1", f"before. {passage.upper()}!"), ("d2", passage[:40]), ("d3", None)], "doc string, text string")
+    items = spark.createDataFrame([("x", passage), ("y", "too short"), (None, passage)], "item string, passage string")
+    assert {tuple(r) for r in leakage.leaks(docs, "doc", "text", items, "item", "passage").collect()} == {("d1", "x", 12)}
+
+
 # ---------------------------------------------------------------- 9 stuffing
 
 PROSE = "The keyboard is quiet and the hinge feels sturdy. We ordered ours from a shop in town, and the parcel reached us in six days."

@@ -1,14 +1,19 @@
 """Competitor search: text similarity and specification similarity under segment and price guards, in batches.
 
-A batch of query listings meets the catalogue through an equi-join on compatible segments and price buckets whose width is the widest
-band, so no pair outside the guards is ever built; without guards the queries, a stated set, meet all rows.
+The queries are a stated set: in blocks of ``QUERY_BLOCK`` they are broadcast and meet the catalogue where it lies, so nothing of it is shuffled and no segment or price band
+can fill one task. Similarities are matrix products in Arrow batches; a task keeps a query's best ``max(400, 60 k)`` candidates and emits nothing else.
+
+Defined cases: a null or empty signature excludes nothing; an unknown property counts 0.45 at half its weight; ties go to the smaller key; no queries or no listings give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +25,7 @@ from cataloom.functions import vocabulary as V
 FEATURES = (("cpu_tier", 1.0, "linear", 3.0, 9.0), ("ram_gb", 1.0, "log2", 2.0, 64.0), ("storage_gb", 0.8, "log2", 16.0, 4096.0), ("screen_in", 0.7, "linear", 10.0, 18.0), ("is_discrete_gpu", 1.0, "linear", 0.0, 1.0), ("price", 1.2, "log10", 80.0, 5000.0))
 MISSING_DISTANCE, MISSING_WEIGHT = 0.45, 0.5
 LAST_PRICE, MIN_GROUP = 500.0, 3
-QUERY_BLOCK = 4000
+QUERY_BLOCK, TASK_ROWS, MET_PAIRS = 4000, 200_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -48,20 +53,17 @@ def normalised(value: Column, scale: str, low: float, high: float) -> Column:
     return (f(clipped) - base(low)) / (base(high) - base(low))
 
 
-def spec_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """1 minus the weighted mean distance of normalised features; an unknown one counts 0.45 at half its weight."""
-    total, weights = F.lit(0.0), F.lit(0.0)
+def spec_similarity(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """1 minus the weighted mean distance of normalised features (NaN where unknown), of every a with every b; an unknown one counts 0.45 at half its weight."""
+    total = weights = 0.0
     for name, weight, *_ in FEATURES:
-        both = a[name].isNotNull() & b[name].isNotNull()
-        total = total + F.when(both, F.abs(a[name] - b[name]) * weight).otherwise(MISSING_DISTANCE * weight * MISSING_WEIGHT)
-        weights = weights + F.when(both, weight).otherwise(weight * MISSING_WEIGHT)
+        gap = np.abs(a[name][:, None] - b[name][None, :])
+        known = ~np.isnan(gap)
+        total = total + np.where(known, np.nan_to_num(gap) * weight, MISSING_DISTANCE * weight * MISSING_WEIGHT)
+        weights = weights + np.where(known, weight, weight * MISSING_WEIGHT)
     return 1 - total / weights
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def affinity(spark: SparkSession) -> DataFrame:
     """(seg_q, seg_c, affinity) of all 36 ordered pairs."""
     rows = [(s, s, 1.0) for s in V.SEGMENTS] + [(a, b, x) for (p, q), x in V.AFFINITY.items() for a, b in ((p, q), (q, p))]
@@ -97,64 +99,116 @@ def features(df: DataFrame, vectors: DataFrame) -> DataFrame:
     return df.join(vectors, "parent_asin").join(price_estimate(df), "parent_asin").select("parent_asin", "brand", "segment", "price", "estimate", "observed", "embedding", sig.alias("sig"), *spec)
 
 
+class _Block:
+    """A block of queries as arrays, and the best candidates that a task has met so far."""
+
+    def __init__(self, queries: pd.DataFrame, near: dict[tuple[str, str], float], options: Options, pool: int):
+        self.q, self.o, self.near = queries, options, near
+        self.vectors, self.facts = _arrays(queries)
+        n = len(queries)
+        self.best = {c: np.full((n, pool), -np.inf if c == "score" else 0.0) for c in ("score", "text", "spec", "ratio")} | {"row": np.zeros((n, pool), np.int64)}
+        self.rows: list[pd.DataFrame] = []
+        self.met = 0
+        self.signs = {v: i for i, v in enumerate(pd.unique(queries["sig"])) if v}
+        self.makers = {v: i for i, v in enumerate(pd.unique(queries["brand"]))}
+        self.segments = {v: i for i, v in enumerate(pd.unique(queries["segment"]))}
+
+    def meet(self, c: pd.DataFrame) -> None:
+        o, q = self.o, self.q
+        vectors, facts = _arrays(c)
+        code = lambda known, column, side: side[column].map(known).fillna(-1).to_numpy(np.int64)
+        text = self.vectors @ vectors.T
+        spec = spec_similarity(self.facts, facts)
+        log_ratio = np.log(c["estimate"].to_numpy()[None, :] / q["estimate"].to_numpy()[:, None])
+        affinity = self.affinity(c["segment"])
+        keep = q["parent_asin"].to_numpy()[:, None] != c["parent_asin"].to_numpy()[None, :]
+        if o.exclude_same_model:
+            own, other = code(self.signs, "sig", q), code(self.signs, "sig", c)
+            keep &= (own[:, None] < 0) | (own[:, None] != other[None, :])
+        if o.same_brand is not None:
+            keep &= (code(self.makers, "brand", q)[:, None] == code(self.makers, "brand", c)[None, :]) == o.same_brand
+        if o.priced_only:
+            keep &= c["observed"].to_numpy(bool)[None, :]
+        score = o.text_weight * text + (1 - o.text_weight) * spec
+        if o.guard:
+            both = q["observed"].to_numpy(bool)[:, None] & c["observed"].to_numpy(bool)[None, :]
+            keep &= (affinity >= o.min_affinity) & (np.abs(log_ratio) <= np.where(both, math.log(o.band), math.log(2 * o.band)))
+            score = score - o.segment_penalty * (1 - affinity) - o.price_penalty * np.minimum(1.0, np.abs(np.exp(log_ratio) - 1))
+        found = {"score": np.where(keep, score, -np.inf), "text": text, "spec": spec, "ratio": np.exp(log_ratio), "row": np.broadcast_to(self.met + np.arange(len(c)), score.shape)}
+        pool = self.best["score"].shape[1]
+        both = {k: np.concatenate([self.best[k], found[k]], axis=1) for k in found}
+        at = np.argpartition(-both["score"], pool - 1, axis=1)[:, :pool]
+        self.best = {k: np.take_along_axis(v, at, 1) for k, v in both.items()}
+        self.rows.append(c[["parent_asin", "segment", "brand", "observed"]])
+        self.met += len(c)
+
+    def affinity(self, segments: pd.Series) -> np.ndarray:
+        table = np.array([[self.near.get((a, b), np.nan if self.o.guard else 0.5) for b in pd.unique(segments)] for a in self.segments]).reshape(len(self.segments), -1)
+        column = {v: i for i, v in enumerate(pd.unique(segments))}
+        return table[self.q["segment"].map(self.segments).to_numpy()][:, segments.map(column).to_numpy()]
+
+    def result(self) -> pd.DataFrame:
+        rows = pd.concat(self.rows, ignore_index=True)
+        i, j = np.nonzero(self.best["score"] > -np.inf)
+        c, q = rows.iloc[self.best["row"][i, j]].reset_index(drop=True), self.q.iloc[i].reset_index(drop=True)
+        default = 0.0 if self.o.guard else 0.5
+        return pd.DataFrame(
+            {
+                "query": q["parent_asin"], "candidate": c["parent_asin"], "query_segment": q["segment"], "segment": c["segment"], "brand": c["brand"],
+                "affinity": [self.near.get(x, default) for x in zip(q["segment"], c["segment"])], "text_similarity": self.best["text"][i, j], "spec_similarity": self.best["spec"][i, j],
+                "price_ratio": self.best["ratio"][i, j], "price_observed": q["observed"].astype(bool) & c["observed"].astype(bool), "score": self.best["score"][i, j],
+            }
+        )
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    return np.stack(pdf["embedding"].to_numpy()).astype(np.float64), {n: pdf[f"f_{n}"].to_numpy(np.float64) for n, *_ in FEATURES}
+
+
+_FOUND = "query string, candidate string, query_segment string, segment string, brand string, affinity double, text_similarity double, spec_similarity double, price_ratio double, price_observed boolean, score double"
+
+
 def competitors(queries: DataFrame, catalogue: DataFrame, options: Options = Options()) -> DataFrame:
     """(query, candidate, ..., score, rank) of the best k per query. Both sides come from ``features``.
 
     The diversity cap takes effect inside a pool of max(400, 60 k) best candidates and is relaxed when they are too few.
     """
-    o = options
-    spark = catalogue.sparkSession
-    names = ["parent_asin", "brand", "segment", "price", "estimate", "observed", "embedding", "sig", *[f"f_{n}" for n, *_ in FEATURES]]
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in names])
-    c = catalogue.select(*[F.col(n).alias(f"c_{n}") for n in names])
-    near = affinity(spark)
-    width = math.log(2 * o.band)
-    if o.guard:
-        kept = near.where(F.col("affinity") >= o.min_affinity)
-        bucket = F.floor(F.log("q_estimate") / width)
-        q = q.join(F.broadcast(kept), q["q_segment"] == kept["seg_q"]).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))  # 36 rows
-        pairs = q.join(c.withColumn("c_bucket", F.floor(F.log("c_estimate") / width)), (F.col("seg_c") == F.col("c_segment")) & (F.col("bucket") == F.col("c_bucket")))
-    else:
-        # a stated query set against all rows, in blocks of a bounded number of queries
-        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        pairs = None
-        for i in range(blocks):
-            block = q.where(F.pmod(F.xxhash64("q_parent_asin"), F.lit(blocks)) == i)
-            met = c.join(F.broadcast(block), F.lit(True)).join(F.broadcast(near), (F.col("q_segment") == F.col("seg_q")) & (F.col("c_segment") == F.col("seg_c")), "left")
-            pairs = met if pairs is None else pairs.unionByName(met)
-        pairs = pairs.withColumn("affinity", F.coalesce("affinity", F.lit(0.5)))
-    keep = F.col("q_parent_asin") != F.col("c_parent_asin")
-    if o.exclude_same_model:
-        keep = keep & ((F.col("q_sig") == "") | (F.col("q_sig") != F.col("c_sig")))
-    if o.same_brand is not None:
-        keep = keep & ((F.col("q_brand") == F.col("c_brand")) == F.lit(o.same_brand))
-    if o.priced_only:
-        keep = keep & F.col("c_observed")
-    log_ratio = F.log(F.col("c_estimate") / F.col("q_estimate"))
-    reach = F.when(F.col("q_observed") & F.col("c_observed"), math.log(o.band)).otherwise(math.log(2 * o.band))
-    if o.guard:
-        keep = keep & (F.abs(log_ratio) <= reach)
-    spec = spec_similarity({n: F.col(f"q_f_{n}") for n, *_ in FEATURES}, {n: F.col(f"c_f_{n}") for n, *_ in FEATURES})
-    gap = F.least(F.lit(1.0), F.abs(F.exp(log_ratio) - 1))
-    scored = pairs.where(keep).select(
-        F.col("q_parent_asin").alias("query"),
-        F.col("c_parent_asin").alias("candidate"),
-        F.col("q_segment").alias("query_segment"),
-        F.col("c_segment").alias("segment"),
-        F.col("c_brand").alias("brand"),
-        "affinity",
-        dot(F.col("q_embedding"), F.col("c_embedding")).alias("text_similarity"),
-        spec.alias("spec_similarity"),
-        F.exp(log_ratio).alias("price_ratio"),
-        (F.col("q_observed") & F.col("c_observed")).alias("price_observed"),
-        gap.alias("gap"),
-    )
-    score = o.text_weight * F.col("text_similarity") + (1 - o.text_weight) * F.col("spec_similarity")
-    if o.guard:
-        score = score - o.segment_penalty * (1 - F.col("affinity")) - o.price_penalty * F.col("gap")
-    scored = scored.withColumn("score", F.round(score, 6)).drop("gap")
+    o, spark = options, catalogue.sparkSession
+    names = ["parent_asin", "brand", "segment", "estimate", "observed", "embedding", "sig", *[f"f_{n}" for n, *_ in FEATURES]]
+    pool_rows = max(400, 60 * o.k)
+    near = {(s, s): 1.0 for s in V.SEGMENTS} | {pair: x for (a, b), x in V.AFFINITY.items() for pair in ((a, b), (b, a))}
+    side = catalogue.select(*names)
+    # few tasks of many rows, so that what each emits, a query's pool, is little of what it met
+    side = side.coalesce(max(1, -(-side.count() // TASK_ROWS)))
+
+    def against(rows: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast(pd.DataFrame([r.asDict() for r in rows], columns=names))
+
+        def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block = _Block(sent.value, near, o, pool_rows)
+            step = max(1, MET_PAIRS // max(1, len(sent.value)))
+            for pdf in batches:
+                for start in range(0, len(pdf), step):
+                    block.meet(pdf.iloc[start : start + step])
+            if block.met:
+                yield block.result()
+
+        return side.mapInPandas(met, _FOUND)
+
+    parts, rows = [], []
+    for r in queries.select(*names).toLocalIterator():  # a stated set, in blocks
+        rows.append(r)
+        if len(rows) == QUERY_BLOCK:
+            parts.append(against(rows))
+            rows = []
+    if rows:
+        parts.append(against(rows))
+    scored = parts[0] if parts else spark.createDataFrame([], _FOUND)
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    scored = scored.withColumn("score", F.round("score", 6))
     best = W.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    pool = scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= max(400, 60 * o.k))
+    pool = scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= pool_rows)
     if o.per_brand is not None:
         within = F.row_number().over(W.partitionBy("query", "brand").orderBy(F.desc("score"), "candidate"))
         first = W.partitionBy("query").orderBy(F.col("over"), F.desc("score"), "candidate")

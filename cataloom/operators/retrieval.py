@@ -172,14 +172,16 @@ def index(df: DataFrame, key: str, text: Column, min_df: int = 2) -> Index:
 
     A term that nearly every document holds would fill one task of a join on terms: such terms, of bounded number, are broadcast, only the others are shuffled.
     """
-    tf = _counted(df, key, text)
+    # both are read several times below
+    tf = staged(_counted(df, key, text), "index-counts")
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
     frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n))  # one row
     vocabulary = frequency.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), (F.col("df") > HOT_TERM * F.col("n_docs")).alias("hot"))
+    vocabulary = staged(vocabulary, "index-vocabulary")
     raw = join_hot(tf, vocabulary, ["term"], F.col("hot"))
     raw = raw.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return Index(raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight")), vocabulary.drop("hot"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))  # a document's terms
+    return Index(raw.select(key, "term", (F.col("w") / norm).alias("weight")), vocabulary.drop("hot"))
 
 
 def lexical_scores(found: Index, key: str, questions: DataFrame) -> DataFrame:
@@ -197,7 +199,8 @@ def feedback_vectors(lexical: DataFrame, vectors: DataFrame, best: int = FEEDBAC
     """(question_id, vector): the mean vector of each question's lexically nearest listings that have one."""
     nearest = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc(F.round("lexical", 8)), "parent_asin"))
     top = lexical.join(vectors.select("parent_asin"), "parent_asin", "left_semi").withColumn("rn", nearest).where(F.col("rn") <= best)
-    cells = top.select("question_id", "parent_asin").join(vectors, "parent_asin").select("question_id", F.posexplode("embedding").alias("i", "x"))
+    top = F.broadcast(top.select("question_id", "parent_asin"))  # FEEDBACK rows a question
+    cells = vectors.join(top, "parent_asin").select("question_id", F.posexplode("embedding").alias("i", "x"))
     mean = cells.groupBy("question_id", "i").agg(F.avg("x").alias("x"))
     return mean.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vector"))
 
@@ -238,7 +241,7 @@ def dense_scores(vectors: DataFrame, asked: DataFrame) -> DataFrame:
 def scores(found: Index, vectors: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, parent_asin, lexical, dense) of every listing that one of the two reaches."""
     lexical = staged(lexical_scores(found, "parent_asin", questions), "lexical-scores")
-    return lexical.join(dense_scores(vectors, feedback_vectors(lexical, vectors)), ["question_id", "parent_asin"], "full")
+    return staged(lexical.join(dense_scores(vectors, feedback_vectors(lexical, vectors)), ["question_id", "parent_asin"], "full"), "scores")
 
 
 # ---------------------------------------------------------------- search

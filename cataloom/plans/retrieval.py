@@ -68,7 +68,7 @@ def question_phrases(spark, d):
 
 def _index(spark, d):
     found = retrieval.index(catalog.products(spark, d), "parent_asin", retrieval.indexed_text())
-    return retrieval.Index(staged(found.postings, "postings"), staged(found.vocabulary, "vocabulary"))
+    return retrieval.Index(staged(found.postings, "postings"), found.vocabulary)
 
 
 def tfidf_index(spark, d):

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# The entities that are decoded without leaving the JVM.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda s: s if s is None else html.unescape(html.unescape(s)))
 
 
 def decode_entities(text: Column) -> Column:
-    """Common entities, twice, as texts are at times encoded twice."""
-    for _ in range(2):
-        for entity, char in ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Every HTML entity, twice, as texts are at times encoded twice. Only texts that hold an ampersand travel to Python, in Arrow batches."""
+    coded = text.contains("&")
+    return F.when(coded, _unescaped(F.when(coded, text))).otherwise(text)
 
 
 def strip_markup(text: Column) -> Column:
@@ -33,20 +32,6 @@ def clean_text(text: Column) -> Column:
     return strip_markup(decode_entities(F.coalesce(text, F.lit(""))))
 
 
-def clean_text_full(df: DataFrame, column: str) -> DataFrame:
-    """``column`` cleaned with every HTML entity decoded; only rows that hold an ampersand go through Python, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            yield t.map(lambda s: s if s is None or "&" not in s else html.unescape(html.unescape(s)))
-
-    c = F.coalesce(column, F.lit(""))
-    plain = df.where(~c.contains("&")).withColumn(column, strip_markup(c))
-    coded = df.where(c.contains("&")).withColumn(column, strip_markup(unescape(c)))
-    return plain.unionByName(coded)
-
-
 def shortened(text: Column, limit: int) -> Column:
     """For display: white space collapsed, cut at a word with an ellipsis."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,9 +105,20 @@ def discrete_premium(df: DataFrame) -> DataFrame:
     )
 
 
-def premium_p_values(premium: DataFrame) -> list[dict]:
+def _with(df: DataFrame, columns: dict[str, Callable[[dict], float | None]]) -> DataFrame:
+    """``df`` of a few rows with columns that closed forms outside SQL give."""
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+            yield pdf.assign(**{c: pd.Series([f(r) for r in rows], dtype="float64", index=pdf.index) for c, f in columns.items()})
+
+    return df.mapInPandas(mapped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{c}` double" for c in columns))
+
+
+def premium_p_values(premium: DataFrame) -> DataFrame:
     """The premium's rows (a segment each) with the two-sided p of z."""
-    return [{**r.asDict(), "p_value": None if r["z"] is None else normal_p(r["z"])} for r in premium.collect()]
+    return _with(premium, {"p_value": lambda r: None if r["z"] is None else normal_p(r["z"])})
 
 
 def price_rating(df: DataFrame, min_ratings: int = 20) -> DataFrame:
@@ -123,11 +135,9 @@ def price_rating(df: DataFrame, min_ratings: int = 20) -> DataFrame:
     )
 
 
-def correlation_p_values(found: DataFrame) -> list[dict]:
-    return [
-        {**r.asDict(), **{f"{c}_p": None if r[c] is None else correlation_p(r[c], r["n"]) for c in ("pearson", "spearman")}}
-        for r in found.collect()
-    ]  # a row per segment
+def correlation_p_values(found: DataFrame) -> DataFrame:
+    """The correlations' rows (a segment each) with their two-sided p."""
+    return _with(found, {f"{c}_p": lambda r, c=c: None if r[c] is None else correlation_p(r[c], r["n"]) for c in ("pearson", "spearman")})
 
 
 def quartile(value: Column, edges: Column) -> Column:

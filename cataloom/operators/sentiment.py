@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions import vocabulary as V
 from cataloom.functions.stats import tidy
+from cataloom.sources.io import seeded
 
 # Fixed values.
 MAX_CLAUSES, MIN_CHARS, SNIPPET, BAND = 40, 6, 300, 0.20
@@ -214,7 +215,23 @@ def aspect_coverage(folded: DataFrame, reviews: DataFrame) -> DataFrame:
     return t.crossJoin(F.broadcast(total)).select("aspect", "reviews", F.round(F.col("reviews") / F.col("_all"), 6).alias("share"), "pos_share")  # one row
 
 
-def mixed_opinions(folded: DataFrame, aspects_least: int = 3, strong: float = 0.4) -> DataFrame:
+def aspect_heat(df: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """(segment, aspect, products, polarity): the mean polarity of the products of a segment that have a mention of the aspect."""
+    long = sentiment.select("parent_asin", F.explode(F.array(*[F.struct(F.lit(a).alias("aspect"), F.col(f"{a}_mentions").alias("m"), F.col(f"{a}_polarity").cast("double").alias("p")) for a in V.ASPECTS])).alias("e"))
+    known = long.where("e.m > 0 AND e.p IS NOT NULL").join(df.select("parent_asin", "segment"), "parent_asin")
+    return known.groupBy("segment", F.col("e.aspect").alias("aspect")).agg(F.count(F.lit(1)).alias("products"), F.round(F.avg("e.p"), 5).alias("polarity"))
+
+
+def aspect_cards(folded: DataFrame, snippets: DataFrame) -> DataFrame:
+    """(parent_asin, aspect, mentions, polarity, praise, complaints): what reviews say of an aspect, and the reviews quoted for and against it, strongest first."""
+    per = folded.groupBy("parent_asin", "aspect").agg(F.sum("n").alias("mentions"), tidy(F.avg("pol")).alias("polarity"))
+    ids = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("rank", "review_id")))), lambda x: x["review_id"])
+    quoted = snippets.groupBy("parent_asin", "aspect").agg(ids("praise").alias("praise"), ids("complaint").alias("complaints"))  # a few of each side
+    none = F.array().cast("array<long>")
+    return per.join(quoted, ["parent_asin", "aspect"], "left").withColumns({c: F.coalesce(c, none) for c in ("praise", "complaints")})
+
+
+def mixed_opinions(folded: DataFrame, aspects_least: int = 3, strong: float = 0.5) -> DataFrame:
     """Reviews that praise one aspect and condemn another."""
     return folded.groupBy("review_id").agg(F.count(F.lit(1)).alias("n_aspects"), F.max("pol").alias("best"), F.min("pol").alias("worst")).where((F.col("n_aspects") >= aspects_least) & (F.col("best") > strong) & (F.col("worst") < -strong))
 
@@ -224,7 +241,7 @@ def mixed_opinions(folded: DataFrame, aspects_least: int = 3, strong: float = 0.
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each stratum, drawn by a seeded hash; a sampling operator."""
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    rank = F.row_number().over(W.partitionBy(stratum).orderBy(seeded(key, seed), key))  # a group limit acts before the shuffle
     return df.where(F.col(stratum).isNotNull()).withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
 
 

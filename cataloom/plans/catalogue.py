@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +96,7 @@ def _folder(spark: SparkSession, d: str, name: str) -> str:
     path = f"{d}/{name}.parquet"
     if os.path.isdir(path):
         return path
-    out = f"{shared_dir(spark)}/cataloom/stream-source-{abs(hash(path))}"
+    out = f"{shared_dir(spark)}/cataloom/stream-source-{hashlib.md5(path.encode()).hexdigest()}"
     spark.read.parquet(path).write.mode("overwrite").parquet(out)
     return out
 
@@ -171,12 +173,25 @@ def sampled_reviews(spark, d):
     return io.sample(catalog.reviews(spark, d), "review_id", 500).select("review_id")
 
 
+def category_filter(spark, d):
+    """Listings by exact membership in a breadcrumb, here segment and system, with an entry that excludes."""
+    cat = catalog.products(spark, d)
+    return cat.where(io.in_category(F.array("segment", "os_family"), "business", "ChromeOS")).select("parent_asin", "segment")
+
+
+def loaded_reviews(spark, d):
+    """The review load: re-pointed, cleaned, two characters at least, typed, without repeats, dated."""
+    survivors, variants = ingest.collapse_variants(catalog.products(spark, d).drop("n_variants"))
+    raw = catalog.reviews(spark, d).drop("orig_parent_asin").withColumns({"title": F.col("review_title"), "timestamp": F.unix_millis(F.col("review_ts").cast("timestamp"))})
+    return ingest.load_reviews(raw, survivors, variants).select("user_id", "asin", "text", "text_len", "review_year")
+
+
 def json_rows(spark, d):
     """Catalogue rows as strict JSON."""
     return io.to_json(catalog.products(spark, d).select("parent_asin", "title", "price", "ram_gb", "is_renewed"))
 
 
-QUERIES = {f.__name__: f for f in (search_text, search_filters, search_sorted_page, search_legacy_filters, search_coverage, sample_listings, default_pick, display_table, price_ruler, brand_vocabulary, semi_join_keep, streaming_semi_join, dedup_reviews, review_counts, clean_documents, drop_reasons, model_signature, dedup_variants, variant_map, repointed_reviews, parsed_specs, title_storage, title_os, rebuilt_catalogue, segment_rules, sampled_reviews, json_rows)}
+QUERIES = {f.__name__: f for f in (search_text, search_filters, search_sorted_page, search_legacy_filters, search_coverage, sample_listings, default_pick, display_table, price_ruler, brand_vocabulary, semi_join_keep, streaming_semi_join, dedup_reviews, review_counts, clean_documents, drop_reasons, model_signature, dedup_variants, variant_map, repointed_reviews, parsed_specs, title_storage, title_os, rebuilt_catalogue, segment_rules, sampled_reviews, category_filter, loaded_reviews, json_rows)}
 
 _MARK = "mk AS (SELECT c.*, s.parent_asin IS NOT NULL AS has_sentiment FROM cat c LEFT JOIN sent s USING (parent_asin))"
 _PRICE_TEXT = "CASE WHEN price IS NULL THEN 'price not listed' ELSE '$' || format('{:,.2f}', price) END"
@@ -185,14 +200,19 @@ _CARD = f"""parent_asin, title, brand, segment, price, {_PRICE_TEXT} AS price_te
 _BLOB = "lower(concat_ws(' ', title, brand, segment, cpu_family, gpu_model, os_family))"
 _M = f"{CAT}, {SENT}, {_MARK}"
 _REV = f"WITH {catalog.REVIEWS_SQL}"
-_CLEAN = "coalesce(text, '')"
-for _ in range(2):
-    for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        _CLEAN = f"replace({_CLEAN}, '{_e}', '{_c}')"
-_CLEAN = f"regexp_replace({_CLEAN}, '<br ?/?>', ' ', 'g')"
-_CLEAN = f"regexp_replace({_CLEAN}, '<[^>]{{1,80}}>', ' ', 'g')"
-_CLEAN = f"regexp_replace({_CLEAN}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g')"
-_CLEAN = f"trim(regexp_replace({_CLEAN}, '[\\s\\x{{0B}}\\x{{A0}}]+', ' ', 'g'), ' ')"
+# The entities that these texts hold; the query decodes all.
+def _clean(c: str) -> str:
+    out = f"coalesce({c}, '')"
+    for _ in range(2):
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+            out = f"replace({out}, '{entity}', '{char}')"
+    out = f"regexp_replace({out}, '<br ?/?>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]{{1,80}}>', ' ', 'g')"
+    out = f"regexp_replace({out}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g')"
+    return f"trim(regexp_replace({out}, '[\\s\\x{{0B}}\\x{{A0}}]+', ' ', 'g'), ' ')"
+
+
+_CLEAN = _clean("text")
 
 _STOP = ", ".join(f"'{w}'" for w in parse.V.MODEL_STOPWORDS)
 _GENERIC = ", ".join(f"'{w}'" for w in parse.V.GENERIC_MODEL)
@@ -238,6 +258,11 @@ ORACLES = {
     "dedup_reviews": f"{_REV} SELECT review_id, user_id, asin FROM rev WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, asin, text ORDER BY review_ts NULLS FIRST, review_id) = 1",
     "review_counts": f"{CAT}, {catalog.REVIEWS_SQL}, n AS (SELECT parent_asin, count(*) AS n FROM rev GROUP BY ALL) SELECT c.parent_asin, coalesce(n.n, 0) AS n_reviews FROM cat c LEFT JOIN n USING (parent_asin)",
     "clean_documents": f"SELECT doc_id, {_CLEAN} AS text FROM documents",
+    "sampled_reviews": f"{_REV} SELECT review_id FROM rev ORDER BY md5(review_id || ':42'), review_id LIMIT 500",
+    "category_filter": f"{CAT} SELECT parent_asin, segment FROM cat WHERE segment = 'business' AND os_family <> 'ChromeOS'",
+    "loaded_reviews": f"""{_VARIANTS}, {catalog.REVIEWS_SQL}, m AS (SELECT r.user_id, r.asin, v.survivor AS parent_asin, {_clean("r.text")} AS text, r.review_ts FROM rev r JOIN ranked v USING (parent_asin))
+      SELECT user_id, asin, text, length(text) AS text_len, CAST(year(review_ts) AS SMALLINT) AS review_year FROM m WHERE length(text) >= 2 AND review_ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, asin, text ORDER BY review_ts, parent_asin) = 1""",
+    "json_rows": f"{CAT} SELECT CAST(to_json({{'parent_asin': parent_asin, 'title': title, 'price': price, 'ram_gb': ram_gb, 'is_renewed': is_renewed}}) AS VARCHAR) AS json FROM cat",
     "model_signature": f"{CAT}, {_SIG} SELECT parent_asin, model_sig FROM sig",
     "dedup_variants": f"{_VARIANTS} SELECT parent_asin, n_variants FROM ranked WHERE parent_asin = survivor",
     "variant_map": f"{_VARIANTS} SELECT parent_asin, survivor FROM ranked WHERE parent_asin <> survivor",

@@ -128,7 +128,21 @@ def _found(name: str, guard: bool) -> str:
 _OUT = "query, candidate, segment, brand, affinity, round(text_similarity, 5) AS text_similarity, round(spec_similarity, 5) AS spec_similarity, round(price_ratio, 5) AS price_ratio, score, rank"
 _LEAK = "count(*) AS pairs, count(*) FILTER (affinity < 0.25) AS cross_class, count(*) FILTER (greatest(price_ratio, 1 / price_ratio) > 3) AS price_gaps"
 
+def _figure(c: str, digits: int) -> str:
+    return f"regexp_replace(format('{{:,.{digits}f}}', {c}), '\\.0$', '')"
+
+
+_PIECES = [
+    "array_to_string(list_slice(regexp_split_to_array(trim(coalesce(title, ''), ' '), '\\s+'), 1, 44), ' ')", "nullif(brand, 'Unknown')", "segment || ' laptop'", "nullif(cpu_family, 'Unknown')",
+    "format('{:.0f}', ram_gb) || ' GB RAM'", f"CASE WHEN storage_gb >= 1024 THEN {_figure('storage_gb / 1024', 1)} || ' TB storage' ELSE format('{{:.0f}}', storage_gb) || ' GB storage' END",
+    f"{_figure('screen_in', 1)} || ' inch display'", "nullif(gpu_model, 'Unknown')", "nullif(os_family, 'Unknown')", "format('{:,.1f}', weight_lb) || ' lb'",
+    "CASE WHEN price < 300 THEN 'under $300' WHEN price < 600 THEN '$300 to $600' WHEN price < 1000 THEN '$600 to $1000' WHEN price < 1800 THEN '$1000 to $1800' WHEN price IS NOT NULL THEN 'over $1800' END",
+    "CASE WHEN is_renewed THEN 'renewed' ELSE 'new' END",
+]
+_DOCUMENT = f"array_to_string(list_filter([{', '.join(_PIECES)}], lambda p: p IS NOT NULL AND p <> ''), ' | ')"
+
 ORACLES = {
+    "product_documents": f"{CAT} SELECT parent_asin, {_DOCUMENT} AS document FROM cat",
     "price_estimate": f"{CAT}, {_ESTIMATE} SELECT parent_asin, round(estimate, 6) AS estimate, observed FROM est",
     "segment_affinity": f"SELECT * FROM (VALUES {_AFF}) t(seg_q, seg_c, affinity)",
     "spec_features": f"{CAT} SELECT parent_asin, {', '.join(f'round({x}, 6) AS {n}' for n, x in _F.items())} FROM cat",

@@ -20,10 +20,14 @@ def _folded(spark, d):
     return staged(sentiment.review_aspects(sentiment.mentions(_reviews(spark, d))), "review-aspects")
 
 
+def _staged(spark, d):
+    """(reviews, folded aspects): read and deduplicated once."""
+    r = staged(_reviews(spark, d), "opinion-reviews")
+    return r, staged(sentiment.review_aspects(sentiment.mentions(r)), "review-aspects")
+
+
 def clauses(spark, d):
-    """Clauses per review: number and characters."""
-    c = sentiment.clause_table(_reviews(spark, d))
-    return c.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("clause")).alias("chars"))
+    return sentiment.clause_table(_reviews(spark, d)).select("review_id", "pos", "clause")
 
 
 def aspect_mentions(spark, d):
@@ -48,8 +52,8 @@ def review_sentiment(spark, d):
 
 
 def product_sentiment_rollup(spark, d):
-    r = _reviews(spark, d)
-    p = sentiment.product_sentiment(sentiment.review_polarity(r), _folded(spark, d))
+    r, folded = _staged(spark, d)
+    p = sentiment.product_sentiment(sentiment.review_polarity(r), folded)
     return p.select("parent_asin", "n_reviews_scored", "mean_rating", "overall_polarity", "overall_pos_share", "battery_mentions", "battery_polarity", "display_mentions", "display_pos_share")
 
 
@@ -59,7 +63,8 @@ def sentiment_profile(spark, d):
 
 
 def top_snippets(spark, d):
-    return sentiment.top_snippets(_folded(spark, d), _reviews(spark, d)).select("parent_asin", "aspect", "side", "rank", "review_id", "score", "snip")
+    r, folded = _staged(spark, d)
+    return sentiment.top_snippets(folded, r).select("parent_asin", "aspect", "side", "rank", "review_id", "score", "snip")
 
 
 def aspect_coverage(spark, d):
@@ -83,10 +88,44 @@ def clause_benchmark(spark, d):
 
 
 def stratified_reviews(spark, d):
-    return sentiment.stratified(_reviews(spark, d), "rating", "review_id", 200).groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
+    """200 reviews of each rating."""
+    return sentiment.stratified(_reviews(spark, d), "rating", "review_id", 200).select("rating", "review_id")
+
+
+def aspect_heatmap(spark, d):
+    return sentiment.aspect_heat(catalog.products(spark, d), table(spark, d, "product_sentiment"))
+
+
+def aspect_cards(spark, d):
+    """Each product's aspects with the reviews quoted for and against them."""
+    r, folded = _staged(spark, d)
+    cards = sentiment.aspect_cards(folded, sentiment.top_snippets(folded, r))
+    return cards.select("parent_asin", "aspect", "mentions", "polarity", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("praise", "complaints")])
+
+
+def backend_ranking(spark, d):
+    """Two scorings of the same reviews, the better macro F1 first."""
+    r = _reviews(spark, d)
+    body = r.withColumn("sent_polarity", F.round(sentiment.lexicon_polarity(F.col("text")), 6))
+    return sentiment.compare_backends({"with_headline": sentiment.review_polarity(r), "body_only": body})
+
+
+def evidence_kinds(spark, d):
+    """Quoted snippets by side."""
+    from cataloom.operators.retrieval import evidence_counts
+
+    r, folded = _staged(spark, d)
+    return evidence_counts(sentiment.top_snippets(folded, r).withColumnRenamed("side", "kind"))
+
+
+def calibration_fit(spark, d):
+    """Platt parameters fitted on the aspect clauses of 1- and 5-star reviews."""
+    from cataloom.operators.models import calibration
+
+    return spark.createDataFrame([calibration(sentiment.clause_benchmark(_reviews(spark, d)))], "a double, b double")
 
 
-QUERIES = {f.__name__: f for f in (clauses, aspect_mentions, lexicon_polarity, calibrated_polarity, review_aspects, review_sentiment, product_sentiment_rollup, sentiment_profile, top_snippets, aspect_coverage, mixed_opinions, backend_metrics, accuracy_by_star, clause_benchmark, stratified_reviews)}
+QUERIES = {f.__name__: f for f in (clauses, aspect_mentions, lexicon_polarity, calibrated_polarity, review_aspects, review_sentiment, product_sentiment_rollup, sentiment_profile, top_snippets, aspect_coverage, mixed_opinions, backend_metrics, accuracy_by_star, clause_benchmark, stratified_reviews, aspect_heatmap, aspect_cards, backend_ranking, evidence_kinds, calibration_fit)}
 
 _POS, _NEG = (", ".join(f"'{w}'" for w in x) for x in (sentiment.POSITIVE, sentiment.NEGATIVE))
 
@@ -124,7 +163,7 @@ _ASP_COLUMNS = [f"CAST(sum(CASE WHEN aspect = '{a}' THEN n ELSE 0 END) AS BIGINT
 _WIDE = ", ".join(f"max(CASE WHEN aspect = '{a}' THEN {c} END) AS asp_{a}_{c}" for a in V.ASPECTS for c in ("n", "pol", "snip"))
 
 ORACLES = {
-    "clauses": f"{REV}, {_CLAUSES} SELECT review_id, count(*) AS n, CAST(sum(length(clause)) AS BIGINT) AS chars FROM cl GROUP BY review_id",
+    "clauses": f"{REV}, {_CLAUSES} SELECT review_id, pos, clause FROM cl",
     "aspect_mentions": f"{REV}, {_MENTIONS} SELECT aspect, count(*) AS clauses, count(DISTINCT review_id) AS reviews, round(avg(pol), 5) AS mean_pol FROM men GROUP BY aspect",
     "lexicon_polarity": f"{REV}, {_POLARITY} SELECT review_id, sent_polarity, {_LABEL} AS sent_label FROM pol",
     "calibrated_polarity": f"""{REV}, {_POLARITY}, c AS (SELECT review_id, greatest(1e-6, least(1 - 1e-6, (sent_polarity + 1) / 2)) AS q FROM pol) SELECT review_id, round(2 / (1 + exp(-(0.2050 * ln(q / (1 - q)) + 0.3286))) - 1, 6) AS calibrated FROM c""",
@@ -140,9 +179,17 @@ ORACLES = {
       o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY parent_asin, aspect, side, lower(left(snip, 120)) ORDER BY score DESC, review_id) = 1)
       SELECT parent_asin, aspect, side, CAST(row_number() OVER (PARTITION BY parent_asin, aspect, side ORDER BY score DESC, review_id) AS INTEGER) AS rank, review_id, score, snip FROM o QUALIFY rank <= 3""",
     "aspect_coverage": f"{REV}, {_FOLDED} SELECT aspect, count(*) AS reviews, round(count(*) / (SELECT count(*) FROM rev WHERE parent_asin IS NOT NULL), 6) AS share, round(avg(CAST(pol > 0 AS INT)), 6) AS pos_share FROM fold GROUP BY aspect",
-    "mixed_opinions": f"{REV}, {_FOLDED} SELECT review_id, count(*) AS n_aspects, max(pol) AS best, min(pol) AS worst FROM fold GROUP BY review_id HAVING count(*) >= 3 AND max(pol) > 0.4 AND min(pol) < -0.4",
+    "mixed_opinions": f"{REV}, {_FOLDED} SELECT review_id, count(*) AS n_aspects, max(pol) AS best, min(pol) AS worst FROM fold GROUP BY review_id HAVING count(*) >= 3 AND max(pol) > 0.5 AND min(pol) < -0.5",
     "backend_metrics": f"""{REV}, {_POLARITY}, {_EVAL}, c AS (SELECT 'strict' AS mode, 1.0::DOUBLE AS coverage, {_CELLS} FROM ev UNION ALL SELECT 'banded', (SELECT round(avg(CAST(sure AS INT)), 6) FROM ev), {_CELLS} FROM ev WHERE sure) SELECT mode, coverage, tp, fp, fn, tn, {_METRIC} FROM c""",
     "accuracy_by_star": f"{REV}, {_POLARITY}, {_EVAL} SELECT rating, count(*) AS n, round(avg(CAST(t = p AS INT)), 6) AS accuracy, round(avg(abs(sent_polarity)), 6) AS mean_abs FROM ev GROUP BY rating",
     "clause_benchmark": f"{REV}, {_MENTIONS}, c AS (SELECT {_CELLS} FROM (SELECT rating = 5 AS t, pol > 0 AS p FROM men WHERE rating IN (1, 5))) SELECT tp, fp, fn, tn, {_METRIC} FROM c",
-    "stratified_reviews": f"{REV} SELECT rating, least(count(*), 200) AS n FROM rev WHERE parent_asin IS NOT NULL AND rating IS NOT NULL GROUP BY rating",
+    "stratified_reviews": f"{REV} SELECT rating, review_id FROM rev WHERE parent_asin IS NOT NULL AND rating IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rating ORDER BY md5(review_id || ':42'), review_id) <= 200",
+    "aspect_heatmap": f"WITH {catalog.PRODUCTS_SQL}, l AS (" + " UNION ALL ".join(f"SELECT parent_asin, '{a}' AS aspect, CAST({a}_polarity AS DOUBLE) AS p FROM product_sentiment WHERE {a}_mentions > 0 AND {a}_polarity IS NOT NULL" for a in V.ASPECTS)
+    + ") SELECT segment, aspect, count(*) AS products, round(avg(p), 5) AS polarity FROM l JOIN cat USING (parent_asin) GROUP BY segment, aspect",
+    "backend_ranking": f"""{REV}, {_POLARITY}, {_EVAL}, eb AS (SELECT rating >= 4 AS t, round({_score("text")}, 6) > 0 AS p FROM pol WHERE rating >= 4 OR rating <= 2),
+      c AS (SELECT 'with_headline' AS backend, {_CELLS} FROM ev UNION ALL SELECT 'body_only', {_CELLS} FROM eb) SELECT backend, 'strict' AS mode, 1.0::DOUBLE AS coverage, tp, fp, fn, tn, {_METRIC} FROM c""",
 }
+ORACLES["aspect_cards"] = f"""WITH sn AS ({ORACLES["top_snippets"]}), q AS (SELECT parent_asin, aspect, string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY rank) FILTER (side = 'praise') AS praise, string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY rank) FILTER (side = 'complaint') AS complaints FROM sn GROUP BY ALL),
+  per AS (SELECT parent_asin, aspect, CAST(sum(n) AS BIGINT) AS mentions, floor(avg(pol) * 1e6 + 0.5000001) / 1e6 AS polarity FROM ({ORACLES["review_aspects"].replace("SELECT review_id, aspect, n, pol, snip FROM fold", "SELECT parent_asin, aspect, n, pol FROM fold")}) GROUP BY ALL)
+  SELECT parent_asin, aspect, mentions, polarity, coalesce(praise, '') AS praise, coalesce(complaints, '') AS complaints FROM per LEFT JOIN q USING (parent_asin, aspect)"""
+ORACLES["evidence_kinds"] = f"SELECT side AS kind, count(*) AS n FROM ({ORACLES['top_snippets']}) GROUP BY side"

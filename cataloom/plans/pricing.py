@@ -59,6 +59,19 @@ def rating_by_price_quartile(spark, d):
     return pricing.rating_by_price_quartile(_cat(spark, d))
 
 
+def premium_significance(spark, d):
+    return pricing.premium_p_values(pricing.discrete_premium(_cat(spark, d))).select("segment", "z", "p_value")
+
+
+def correlation_significance(spark, d):
+    return pricing.correlation_p_values(pricing.price_rating(_cat(spark, d))).select("segment", "n", "pearson_p", "spearman_p")
+
+
+def focus_brands(spark, d):
+    """The ten largest brands, and one that need not be among them."""
+    return overview.top_brands_with_focus(pricing.brand_price_table(_cat(spark, d), 5, 1000), "Orbis Nine", 10).select("brand", "n_total", "median")
+
+
 def coverage_bias(spark, d):
     return pricing.coverage_bias(_cat(spark, d))
 
@@ -140,7 +153,7 @@ def price_model(spark, d):
     return models.price_model(_cat(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (segment_price_table, segment_overview, brand_price_table, brand_list_sorted, discrete_premium, price_rating, rating_by_price_quartile, coverage_bias, segment_coverage_spread, implausible_prices, spec_price_ratios, validation_checks, column_coverage, segment_counts, brand_counts, corpus_medians, price_histogram, price_position_segment, price_position_brand, price_vs_value, value_outliers, compare_products, market_overview, artifact_health, product_detail, price_model)}
+QUERIES = {f.__name__: f for f in (segment_price_table, segment_overview, brand_price_table, brand_list_sorted, discrete_premium, price_rating, premium_significance, correlation_significance, focus_brands, rating_by_price_quartile, coverage_bias, segment_coverage_spread, implausible_prices, spec_price_ratios, validation_checks, column_coverage, segment_counts, brand_counts, corpus_medians, price_histogram, price_position_segment, price_position_brand, price_vs_value, value_outliers, compare_products, market_overview, artifact_health, product_detail, price_model)}
 
 _GROUP = f"{PRICE_BLOCK_SQL}, count(*) FILTER (is_renewed) AS n_renewed, round(avg(average_rating), 6) AS mean_rating"
 _BRANDS = f"""brands AS (SELECT brand, {_GROUP}, count(*) - count(price) AS n_unpriced, count(price) < 5 AS unreliable, round(count(*) / (SELECT count(*) FROM cat), 6) AS share_of_catalogue
@@ -176,6 +189,7 @@ ORACLES = {
     "segment_overview": f"""{CAT}, {SENT} SELECT c.segment, count(*) AS n_total, round(quantile_cont(c.price, 0.5), 6) AS median, count(s.parent_asin) AS n_with_sentiment,
       round(count(s.parent_asin) / count(*), 6) AS sentiment_coverage, round(count(*) / sum(count(*)) OVER (), 6) AS share_of_catalogue FROM cat c LEFT JOIN sent s USING (parent_asin) GROUP BY c.segment""",
     "brand_price_table": f"{CAT}, {_BRANDS} SELECT * FROM brands ORDER BY n_total DESC, brand LIMIT 20",
+    "focus_brands": f"{CAT}, {_BRANDS}, top AS (SELECT * FROM brands ORDER BY n_total DESC, brand LIMIT 10) SELECT brand, n_total, median FROM top UNION SELECT brand, n_total, median FROM brands WHERE brand = 'Orbis Nine'",
     "brand_list_sorted": f"{CAT}, {_BRANDS} SELECT brand, coverage, row_number() OVER (ORDER BY coverage DESC NULLS LAST, lower(brand), brand) AS position FROM (SELECT * FROM brands ORDER BY n_total DESC, brand LIMIT 100)",
     "discrete_premium": f"""{CAT}, b AS (SELECT 'ALL' AS segment, price, is_discrete_gpu AS d FROM cat UNION ALL SELECT segment, price, is_discrete_gpu FROM cat),
       agg AS (SELECT segment, count(*) FILTER (d) AS td, count(*) FILTER (NOT d) AS ti, count(price) FILTER (d) AS n_discrete, count(price) FILTER (NOT d) AS n_integrated,

@@ -326,6 +326,21 @@ _BLOCK = """coalesce(title, 'unknown') || ' | brand ' || brand || ' | segment '
   || ' | storage ' || coalesce(CAST(storage_gb AS VARCHAR) || ' GB', 'unknown') || ' | screen ' || coalesce(CAST(screen_in AS VARCHAR) || ' inch', 'unknown') || ' | weight ' || coalesce(CAST(weight_lb AS VARCHAR) || ' lb', 'unknown')
   || ' | GPU ' || gpu_model || ' | rating ' || coalesce(CAST(average_rating AS VARCHAR), 'unknown')"""
 
+from cataloom.plans.pricing import ORACLES as PRICES  # noqa: E402
+
+
+def _stat(kind: str, name: str) -> str:
+    usd = lambda c: f"coalesce('$' || format('{{:,.0f}}', {c}), 'unknown')"
+    return f"'{kind} ' || chr(39) || {name} || chr(39) || ': median ' || {usd('median')} || ', middle half ' || {usd('p25')} || ' to ' || {usd('p75')} || '; priced ' || n || ' of ' || n_total || CASE WHEN reliable THEN '' ELSE ' (small sample)' END"
+
+
+_STATS = f"""WITH ask AS ({CAT}, {_ASK} SELECT question_id, question, question_type, segments, brands, discrete_gpu FROM ask), seg AS ({PRICES["segment_price_table"]}), pre AS ({PRICES["discrete_premium"]}),
+  bra AS ({PRICES["brand_price_table"].replace("LIMIT 20", "LIMIT 40").replace("HAVING count(*) >= 5", "HAVING count(*) >= 25")}),
+  lines AS (SELECT question_id, 0 AS part, 0 AS size, segment AS name, {_stat("Segment", "segment")} AS line FROM seg, ask a WHERE len(a.segments) = 0 OR list_contains(a.segments, segment)
+    UNION ALL SELECT question_id, 1, 0, segment, 'Premium for discrete graphics in ' || chr(39) || segment || chr(39) || ': $' || format('{{:,.0f}}', premium_usd) || ' over ' || n_discrete || ' and ' || n_integrated || ' priced listings' FROM pre, ask a
+      WHERE (a.discrete_gpu OR {_hints(("gpu", "graphics"))}) AND (segment = 'ALL' OR list_contains(a.segments, segment)) AND premium_usd IS NOT NULL
+    UNION ALL SELECT question_id, 2, -n_total, brand, {_stat("Brand", "brand")} FROM bra, ask a WHERE (len(a.brands) > 0 OR a.question_type = 'market') AND (len(a.brands) = 0 OR list_contains(a.brands, brand)))
+  SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY part, size, name) AS INTEGER) AS position, line FROM lines QUALIFY position <= 8"""
 _JOINED = ", ".join(f"array_to_string({c}, ',') AS {c}" for c in _LISTS)
 
 ORACLES = {
@@ -346,5 +361,6 @@ ORACLES = {
       u AS (SELECT *, CASE WHEN aspect = 'battery' AND rank = 1 THEN 1 WHEN o <= 2 THEN 1000 END AS turn, CASE WHEN side = 'praise' THEN 0 ELSE 1 END AS s FROM t),
       v AS (SELECT * FROM u WHERE turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_asin, lower(left(snip, 80)) ORDER BY turn, s, score DESC, review_id, aspect) = 1)
       SELECT parent_asin, CAST(row_number() OVER (PARTITION BY parent_asin ORDER BY turn, s, score DESC, review_id, aspect) AS INTEGER) AS evidence_rank, aspect, side, review_id FROM v QUALIFY evidence_rank <= 3""",
+    "market_stats": _STATS,
     "product_blocks": f"{CAT} SELECT parent_asin, {_BLOCK} AS block FROM cat",
 }

@@ -105,5 +105,9 @@ def write_report(df: DataFrame, path: str, limit: int = 10_000) -> None:
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by a seeded hash of the key: a sampling operator that gives the same rows on any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by a seeded digest of the key: a sampling operator that gives the same rows on any partitioning."""
+    return df.orderBy(seeded(key, seed), key).limit(n)
+
+
+def seeded(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))

@@ -54,8 +54,8 @@ TRAIN_ROWS, STEPS, BATCH, RATE, TEMPERATURE = 12_000, 80, 384, 0.3, 0.1
 GROUP_ROWS = 8  # listings of one code and sizes in the sample, so that a hot group doesn't fill it
 LIST_AIM, LIST_ROWS, MAX_LISTS = 1500, 4000, 4096
 FIRST_LISTS = 32  # nearest lists kept of each listing; more where the tuning needs them
-TUNED_RECALL, TUNE_QUERIES, SPARE_PROBES = 0.9995, 1000, 2
-SIMILARITY, ALIKE, BLIND = 0.35, 0.5, 0.9
+TUNED_RECALL, TUNE_QUERIES, SPARE_PROBES = 0.9995, 1000, 4
+SIMILARITY, ALIKE, BLIND = 0.2, 0.5, 0.9
 ONE_MAKER = 0.6  # share of the known makers of an identifier's listings that must be one
 HOT = 0.001  # identifiers and copies that a larger share of the listings hold are broadcast
 MOST_NAMES, NAMES_BLOCK = 100_000, 2000
@@ -102,10 +102,12 @@ def identifiers(title: str, names: Sequence[re.Pattern] = ()) -> tuple[set[str],
                 if gap not in ("-", "_", ".", " "):
                     break
                 tight &= gap != " "
-            if len(run) > 4 and not any(c.isdigit() for c in run):
+            # a piece has a digit, a few letters, or behind a digit letters some of which may be digits
+            if not any(c.isdigit() for c in run) and len(run) > 4 and not (len(run) == 5 and sum(c in "OILoil" for c in run) > 1 and any(c.isdigit() for c in joined)):
                 break
             joined += run
-            if name := identifier(joined):
+            name = identifier(joined)
+            if name and (tight or len(name) > LEAST):  # a short name and the start of a code are no identifier
                 (unbroken if tight else broken).add(name)
     return unbroken, broken - unbroken
 

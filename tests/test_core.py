@@ -360,6 +360,27 @@ def test_ridge_equals_normal_equations(spark):
     assert np.allclose(m.coefficients.toArray(), w, atol=1e-9)
 
 
+def test_ridge_of_more_features_than_the_normal_equations_take(spark):
+    levels = models.MOST_FEATURES + 400
+    rng = np.random.default_rng(1)
+    rows = [(float(i % levels), float(rng.normal()), float(i % 7 + i % 3 + rng.normal() * 0.1)) for i in range(2 * levels)]
+    df = spark.createDataFrame(rows, "level double, x double, y double")
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+    coded = OneHotEncoder(inputCol="level", outputCol="h", dropLast=False).fit(df).transform(df)
+    features = VectorAssembler(inputCols=["x", "h"], outputCol="features").transform(coded)
+    m = models.ridge(features, 1.0)
+    # the levels' weights follow from the others: two rows each
+    a, x, y = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
+    at = a.astype(int)
+    w = m.coefficients
+    left = y - m.intercept - x * w[0]
+    assert np.allclose(w[1:], np.bincount(at, left, levels) / 3, atol=1e-8)
+    assert abs(x @ (left - w[1:][at]) - w[0]) < 1e-6 and abs((left - w[1:][at]).sum()) < 1e-6
+    got = np.array([r[0] for r in m.transform(features).select("prediction").collect()])
+    assert np.allclose(np.sort(got), np.sort(m.intercept + x * w[0] + w[1:][at]), atol=1e-9)
+
+
 def test_variants_collapse(spark):
     df = spark.createDataFrame([("a", 5, None), ("b", 9, 1.0), ("c", 9, 1.0)], "parent_asin string, rating_number long, ram_gb double")
     for c, v in (("title", "Foo Blade X"), ("brand", "Foo"), ("cpu_family", "u"), ("gpu_model", "u"), ("os_family", "u")):

@@ -1,19 +1,20 @@
-"""The k most similar vectors of every vector: a navigable small-world graph per shard, in flat neighbour arrays, merged.
+"""The k most similar vectors of every vector: cells of near vectors, each searched whole, or by a navigable small-world graph where it is large.
 
-* Vectors are normalised; those of another length, all zero, null or not finite are not usable and take no part.
-* Coarse centroids, fitted on a bounded sample, route vectors to shards: each vector is stored in the shard of its nearest centroid and
-  searched for in the shards of its ``probes`` nearest ones. Their number is tuned at every size, up to all: of the exact neighbours of a sample
+* Vectors of another length, all zero, null or not finite are not usable and take no part.
+* Coarse centroids, fitted on a bounded sample, route vectors to cells: each vector is stored in the cell of its nearest centroid and
+  searched for in the cells of its ``probes`` nearest ones. Their number is tuned at every size, up to all: of the exact neighbours of a sample
   of queries, searched for in all rows, ``TUNED_RECALL`` must lie in the cells probed. A cell with more than ``shard_rows`` vectors (a dense category) is
   split by hash into shards of that size, each of which is searched; its queries are split into blocks of ``ASK_ROWS``.
-* Each shard builds a hierarchical small-world graph: per level one int32 array of neighbours, row after row. Vectors are inserted and
-  queries are answered in batches that walk the graph in lock step, so that the work is matrix arithmetic, not Python steps.
+* Up to ``SCAN_ROWS`` stored vectors a shard's queries are answered by a matrix product, which finds all of its neighbours and costs less than a graph. A larger shard (``shard_rows`` set higher)
+  builds a hierarchical small-world graph: per level one int32 array of neighbours, row after row, walked by batches of queries in lock step.
 * The shards' answers are merged per query.
 
 Defined cases: a key that repeats counts once (of differing vectors, the one of the least hash); a null key is left out; equal vectors are each other's nearest, ties go to
 the smaller key; a collection of fewer than k + 1 vectors gives what there is; an empty table gives no rows; extra columns aren't read.
 
-Scale: shuffled are a copy of each vector for each block of its cell's queries, and ``probes`` copies for each split of the cells probed: one and ``probes`` as long as the number of centroids
-grows with the vectors, more beyond ``MAX_CENTROIDS`` times ``shard_rows`` of them. A task holds one split and one block of queries. Samples are drawn by a threshold on the key's hash, so nothing
+Scale: a vector is stored and shuffled as it was given, in half precision where that is exact, byte planes apart and compressed by Zstandard; only vectors of repeating keys are shuffled before that. Near cells travel in groups of
+``GROUP_CELLS``, to which a vector goes once, whatever number of their cells it is stored or searched for in. Dense cells travel alone, in a grid of splits and blocks of queries.
+Beyond ``MAX_CENTROIDS`` times ``shard_rows`` vectors cells have several splits, each of which gets all queries of the cell. Samples are drawn by a threshold on the key's hash, so nothing
 but them reaches the driver (25 MB at most). Centroids (at most ``MAX_CENTROIDS`` of one vector each) are broadcast, and the sampled queries.
 """
 
@@ -40,6 +41,9 @@ PROBES = 1  # at least
 ASK_ROWS = 8_000  # queries of a shard that one task answers
 MAX_TASKS = 20_000
 TUNED_RECALL, TUNE_QUERIES = 0.999, 1000
+SCAN_ROWS, SCAN_PAIRS = 50_000, 4_000_000  # stored vectors up to which a matrix product is cheaper than walking a graph; pairs of a product
+GROUP_CELLS = 16  # near cells that travel together, so that a query of several of them goes to them once
+MOST_DOUBLED = 500_000  # repeating keys that are broadcast; more are joined by the planner
 DEGREE, EF_BUILD, EF_SEARCH, WAVE = 16, 64, 64, 4
 
 
@@ -288,61 +292,248 @@ def tuned_probes(vectors: DataFrame, asked: DataFrame, key: str, k: int, dim: in
     return probes, float(share[probes - 1])
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, probes: int | None = None, shard_rows: int = SHARD_ROWS, queries: DataFrame | None = None) -> DataFrame:
-    """(key, neighbour, similarity, rank) of each usable vector, or of those whose keys ``queries`` holds. ``probes`` are tuned unless given."""
+def packed(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """(key, lo, hi) of each usable vector as it was given: its low and its high bytes, in half precision where that holds all its values exactly. Zstandard takes them for half the size of normalised floats."""
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, lo binary, hi binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten()
+            if len(flat) == batch.num_rows * dim and not flat.null_count:
+                x = flat.to_numpy(zero_copy_only=False)
+            else:
+                x = np.array([[np.nan if e is None else e for e in v] for v in batch.column(1).to_pylist()])
+            wide = np.asarray(x, np.float64).reshape(-1, dim)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((wide * wide).sum(1))
+                keep = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+                wide, norm = wide[keep], norm[keep]
+                # what a float doesn't hold is brought to unit length first
+                x = np.where(((np.abs(wide).max(1, initial=0) < 1e30) & (norm > 1e-30))[:, None], wide, wide / norm[:, None]).astype("<f4")
+                half = x.astype("<f2")
+                exact = (half.astype("<f4") == x).all(1)
+            lo, hi = np.empty(len(x), object), np.empty(len(x), object)
+            for own, values in ((exact, half), (~exact, x)):
+                if own.any():
+                    planes = values[own].view(np.uint8).reshape(int(own.sum()), dim, -1).transpose(0, 2, 1)
+                    lo[own] = [r.tobytes() for r in planes[:, :-1]]
+                    hi[own] = [r.tobytes() for r in planes[:, -1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], names=[key, "lo", "hi"])
+
+    return rows.select(key, vector).mapInArrow(pack, schema)
+
+
+def unpacked(lo: pa.Array, hi: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors."""
+    low, high = lo.to_pylist(), hi.to_pylist()
+    out = np.zeros((len(low), dim), np.float32)
+    planes = np.array([len(x) // dim for x in low], np.int64)
+    for count, kind in ((1, "<f2"), (3, "<f4")):
+        own = np.flatnonzero(planes == count)
+        if len(own):
+            bytes_ = np.frombuffer(b"".join(part for i in own for part in (low[i], high[i])), np.uint8).reshape(len(own), count + 1, dim)
+            x = np.ascontiguousarray(bytes_.transpose(0, 2, 1)).view(kind).reshape(len(own), dim).astype(np.float64)
+            out[own] = x / np.sqrt((x * x).sum(1, keepdims=True))
+    return out
+
+
+def once(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """(key, vector) of each key once. Only the vectors of keys that repeat are shuffled."""
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == dim)).select(key, vector)
+    doubled = staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "hnsw-doubled")
+    sent = F.broadcast(doubled) if doubled.count() <= MOST_DOUBLED else doubled
+    chosen = rows.join(sent, key, "left_semi").groupBy(key).agg(F.min_by(vector, F.xxhash64(vector)).alias(vector))
+    return rows.join(sent, key, "left_anti").unionByName(chosen)
+
+
+def grouped(centres: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
+    """The group of each centroid: near ones together, halved along the widest axis until a group has at most ``most`` of them."""
+    out = np.zeros(len(centres), np.int64)
+    queue, count = [np.arange(len(centres))], 0
+    while queue:
+        own = queue.pop()
+        if len(own) <= max(1, most):
+            out[own] = count
+            count += 1
+            continue
+        x = centres[own] - centres[own].mean(0)
+        order = own[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        total = np.cumsum(weight[order] + 1e-9)
+        cut = min(len(own) - 1, max(1, int(np.searchsorted(total, total[-1] / 2))))
+        queue += [order[:cut], order[cut:]]
+    return out
+
+
+def nearest_cells(x: np.ndarray, centres: np.ndarray, take: int) -> np.ndarray:
+    sims = -(x @ centres.T)
+    if take < len(centres):
+        part = np.sort(np.argpartition(sims, take - 1, axis=1)[:, :take], axis=1)
+        return np.take_along_axis(part, np.argsort(np.take_along_axis(sims, part, 1), axis=1, kind="stable"), 1)
+    return np.argsort(sims, axis=1, kind="stable")
+
+
+def scan(q: np.ndarray, own: np.ndarray, x: np.ndarray, at: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, position, similarity): of each query the k best of ``x``, ties by the smaller of the positions ``at``; a query's own position is left out."""
+    found = []
+    step = max(1, SCAN_PAIRS // max(1, len(x)))
+    for start in range(0, len(q), step):
+        sims = q[start : start + step] @ x.T
+        sims[own[start : start + step, None] == at[None, :]] = -3
+        floor = np.full(len(sims), -2.0 if least is None else least - 1e-6, np.float32)
+        full = np.flatnonzero((sims >= floor[:, None]).sum(1) > k)
+        if len(full):
+            floor[full] = np.partition(sims[full], len(x) - k, axis=1)[:, len(x) - k]
+        i, j = np.nonzero(sims >= floor[:, None])
+        found.append((start + i, at[j], sims[i, j]))
+    i, j, s = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    return best_of(i, j, s, k)
+
+
+def best_of(i: np.ndarray, j: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((j, -s, i))
+    i, j, s = i[order], j[order], s[order]
+    first = np.searchsorted(i, i)
+    keep = np.arange(len(i)) - first < k
+    return i[keep], j[keep], s[keep]
+
+
+def neighbours(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, probes: int | None = None, shard_rows: int = SHARD_ROWS, queries: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """(key, neighbour, similarity, rank) of each usable vector, or of those whose keys ``queries`` holds. ``probes`` are tuned unless given. With ``least`` only those of at least that similarity."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    vectors = staged(usable(df, key, vector, dim), "hnsw-vectors")
+    vectors = staged(packed(once(df, key, vector, dim), key, vector, dim), "hnsw-vectors", compression="zstd")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in unpacked(batch.column(1), batch.column(2), dim)], pa.binary())], names=[key, "v"])
+
+    units = lambda rows: rows.mapInArrow(unit, f"{key} {kind}, v binary")
     n = vectors.count()
     count = int(min(MAX_CENTROIDS, max(1, round(n / CENTROID_ROWS))))
     centres = np.zeros((1, dim), np.float32)
     if count > 1:
-        centres = fit_centroids(matrix(drawn(vectors, key, SAMPLE_ROWS, n).orderBy(F.xxhash64(key)).select("v").toPandas()["v"], dim), count)
-    sent = spark.sparkContext.broadcast(centres)
+        centres = fit_centroids(matrix(units(drawn(vectors, key, SAMPLE_ROWS, n)).orderBy(F.xxhash64(key)).select("v").toPandas()["v"], dim), count)
     wanted = None if queries is None else queries.select(key).distinct()
+    asked = vectors if wanted is None else staged(vectors.join(wanted, key, "left_semi"), "hnsw-asked", compression="zstd")
     if probes is None:
-        probes = tuned_probes(vectors, vectors if wanted is None else vectors.join(wanted, key, "left_semi"), key, k, dim, centres)[0]
+        probes = tuned_probes(units(vectors), units(asked), key, k, dim, centres)[0]
     take = min(probes, len(centres))
+    sent = spark.sparkContext.broadcast(centres)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task's vectors of each cell
+        total = np.zeros((2, len(sent.value)), np.int64)
         for batch in batches:
             if batch.num_rows:
-                sims = matrix(batch.column(1).to_pylist(), dim) @ sent.value.T
-                near = np.argsort(-sims, axis=1, kind="stable")[:, :take].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near))], names=[key, "v", "cells"])
-
-    routed = staged(vectors.mapInArrow(route, f"{key} {kind}, v binary, cells array<int>"), "hnsw-routed")
-    asked = routed if wanted is None else routed.join(wanted, key, "left_semi")
-    blocks = lambda rows, most: F.ceil(rows / most).cast("int")
-    stored_rows = routed.groupBy(F.col("cells")[0].alias("cell")).agg(blocks(F.count(F.lit(1)), shard_rows).alias("splits"))
-    asked_rows = asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(blocks(F.count(F.lit(1)), ASK_ROWS).alias("turns"))
-    sizes = staged(stored_rows.join(asked_rows, "cell"), "hnsw-sizes")
-    tasks = sizes.agg(F.sum(F.col("splits") * F.col("turns"))).first()[0] or 1
-    sizes = F.broadcast(sizes)  # a row per centroid, MAX_CENTROIDS at most
-    # a dense cell is a grid: each split of its vectors meets each block of its queries
-    own = lambda column: F.pmod(F.xxhash64(key), F.col(column)).cast("int")
-    every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
-    base = routed.withColumn("cell", F.col("cells")[0]).join(sizes, "cell").select("cell", own("splits").alias("split"), "turns", key, "v", F.lit(True).alias("stored"))
-    base = base.select("cell", "split", every("turns").alias("turn"), key, "v", "stored")
-    query = asked.select(key, "v", F.explode("cells").alias("cell")).join(sizes, "cell").select("cell", every("splits").alias("split"), own("turns").alias("turn"), key, "v", F.lit(False).alias("stored"))
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        stored = pdf[pdf["stored"]].sort_values(key)
-        asked = pdf[~pdf["stored"]]
-        keys = stored[key].to_numpy()
-        graph = Graph(matrix(stored["v"], dim))
-        at, sims = graph.search(matrix(asked["v"], dim), k + 1)
-        own = np.repeat(asked[key].to_numpy(), at.shape[1])
-        out = pd.DataFrame({key: own, "neighbour": keys[np.maximum(at.ravel(), 0)], "similarity": sims.ravel().astype(np.float64)})
-        return out[(at.ravel() >= 0) & (out[key] != out["neighbour"])]
-
-    both = base.unionByName(query).withColumn("shard", F.concat_ws("/", "cell", "split", "turn"))
+                near = nearest_cells(unpacked(batch.column(1), batch.column(2), dim), sent.value, take)
+                total += [np.bincount(near[:, 0], minlength=total.shape[1]), np.bincount(near.ravel(), minlength=total.shape[1])]
+        cell = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cell, *total[:, cell])], names=["cell", "home", "near"])
+
+    def loads(rows: DataFrame) -> np.ndarray:
+        out = np.zeros((2, len(centres)), np.int64)
+        for r in rows.mapInArrow(load, "cell long, home long, near long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("near").alias("near")).collect():  # a row per centroid at most
+            out[:, r["cell"]] = r["home"], r["near"]
+        return out
+
+    stored_rows = loads(vectors)
+    asked_rows = (stored_rows if wanted is None else loads(asked))[1]
+    stored_rows = stored_rows[0]
+    # a dense cell is a grid: each split of its vectors meets each block of its queries; the others travel in groups of near cells
+    splits, turns = np.maximum(1, -(-stored_rows // shard_rows)), np.maximum(1, -(-asked_rows // ASK_ROWS))
+    dense = splits * turns > 1
+    groups = grouped(centres, stored_rows, min(GROUP_CELLS, len(centres) // (2 * spark.sparkContext.defaultParallelism)))
+    grid = spark.sparkContext.broadcast((splits, turns, dense, groups))
+
+    def send(stores: bool, asks: bool):
+        def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            splits, turns, dense, groups = grid.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                near = nearest_cells(unpacked(batch.column(1), batch.column(2), dim), sent.value, take)
+                own = np.array(batch.column(3).to_numpy())
+                rows, cells, stored, shard = [], [], [], []
+                for role, at, to in ((True, np.arange(len(near)), near[:, 0]), (False, np.repeat(np.arange(len(near)), take), near.ravel())):
+                    if not (stores if role else asks):
+                        continue
+                    # a dense cell's vectors go to one split and all turns, its queries to all splits and one turn
+                    times = np.where(dense[to], turns[to] if role else splits[to], 1)
+                    at, to = np.repeat(at, times), np.repeat(to, times)
+                    j = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    split, turn = (own[at] % splits[to], j) if role else (j, own[at] % turns[to])
+                    rows.append(at)
+                    cells.append(to)
+                    stored.append(np.full(len(at), role))
+                    shard.append(np.where(dense[to], MAX_CENTROIDS + (to * (1 << 24) + split) * (1 << 14) + turn, groups[to]))
+                rows, cells, stored, shard = (np.concatenate(c) for c in (rows, cells, stored, shard))
+                order = np.lexsort((rows, shard))
+                edge = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
+                for a, b in zip(edge, edge[1:]):
+                    o = order[a:b]
+                    texts, local = np.unique(rows[o], return_inverse=True)  # a vector enters a shard once
+                    vectors = batch.select([0, 1, 2]).take(pa.array(texts))
+                    roles = pa.RecordBatch.from_arrays([pa.array(local.astype(np.int32)), pa.array(cells[o].astype(np.int32)), pa.array(stored[o])], names=["row", "cell", "stored"])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard[o[0]]], pa.int64()), *(pa.array([_blob(x)], pa.binary()) for x in (vectors, roles))], names=["shard", "vectors", "roles"])
+
+        return sending
+
+    def sent_from(rows: DataFrame, stores: bool, asks: bool) -> DataFrame:
+        return rows.select(key, "lo", "hi", F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("own")).mapInArrow(send(stores, asks), "shard long, vectors binary, roles binary")
+
+    both = sent_from(vectors, True, True) if wanted is None else sent_from(vectors, True, False).unionByName(sent_from(asked, False, True))
+
+    def answer(table: pa.Table) -> pa.Table:
+        x, keys, row, cell, stored, base = [], [], [], [], [], 0
+        for v, r in zip(table.column("vectors"), table.column("roles")):
+            v, r = (pa.ipc.open_stream(c.as_py()).read_all().combine_chunks() for c in (v, r))
+            x.append(unpacked(v.column(1).combine_chunks(), v.column(2).combine_chunks(), dim))
+            keys.append(v.column(0))
+            row.append(r.column("row").to_numpy() + base)
+            cell.append(r.column("cell").to_numpy())
+            stored.append(r.column("stored").to_numpy())
+            base += v.num_rows
+        x, row, cell, stored = (np.concatenate(c) for c in (x, row, cell, stored))
+        keys = np.concatenate([k.to_numpy() for k in keys])
+        # positions are ranks of keys; a vector that came in two blobs has one
+        unique, rank = np.unique(keys, return_inverse=True)
+        found = []
+        for c in np.unique(cell[stored]):
+            s, q = row[stored & (cell == c)], row[~stored & (cell == c)]
+            if not len(q):
+                continue
+            s = s[np.argsort(rank[s])]
+            if len(s) <= SCAN_ROWS:
+                i, j, sims = scan(x[q], rank[q], x[s], rank[s], k, least)
+            else:
+                at, sims = Graph(x[s]).search(x[q], k + 1)
+                i, j = np.repeat(np.arange(len(q)), at.shape[1]), rank[s][np.maximum(at.ravel(), 0)]
+                ok = (at.ravel() >= 0) & (j != rank[q][i])
+                i, j, sims = i[ok], j[ok], sims.ravel()[ok]
+            found.append((rank[q][i], j, sims))
+        i, j, sims = best_of(*(np.concatenate(c) for c in zip(*found)), k) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        sims = sims.astype(np.float64)
+        if least is not None:
+            i, j, sims = i[sims >= least], j[sims >= least], sims[sims >= least]
+        kind_of = pa.ipc.open_stream(table.column("vectors")[0].as_py()).schema.field(0).type
+        return pa.table({key: pa.array(unique[i], kind_of), "neighbour": pa.array(unique[j], kind_of), "similarity": pa.array(sims)})
+
+    tasks = int(groups.max()) + 1 + int((splits * turns)[dense].sum())
     # several partitions a shard, so that seldom two fall into one task
-    found = both.repartition(min(MAX_TASKS, 4 * tasks), "shard").groupBy("shard").applyInPandas(answer, f"{key} {kind}, neighbour {kind}, similarity double")
+    found = both.repartition(min(MAX_TASKS, 4 * tasks), "shard").groupBy("shard").applyInArrow(answer, f"{key} {kind}, neighbour {kind}, similarity double")
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _blob(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def recall(df: DataFrame, found: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, sample: int = TUNE_QUERIES) -> float:
     """Share of the exact k nearest of about ``sample`` of the answered queries, searched for in all rows, that ``found`` holds; ties at the edge count as found."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ def _products(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hnsw.neighbours(table(spark, sf_dir, "product_vectors"), "vec_id", "embedding", k=10)
+    found = hnsw.neighbours(table(spark, sf_dir, "product_vectors"), "vec_id", "embedding", k=10, least=0.80)
     return hnsw.similar_pairs(found, "vec_id", 0.80)
 
 

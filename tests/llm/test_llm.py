@@ -80,6 +80,33 @@ def test_unusable_vectors(spark):
     assert hnsw.neighbours(df.where("false"), "id", "e", k=3, dim=3).count() == 0
 
 
+def test_neighbours_keep_the_bytes_of_the_vectors_low(spark, tmp_path):
+    import pathlib
+
+    from cataloom.session import shared_dir
+
+    x = (np.random.default_rng(5).integers(-128, 128, (3000, 64)) / 512).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, e array<float>").union(spark.createDataFrame([(0, x[0].tolist())], "id long, e array<float>"))
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://")) / "cataloom"
+    before = set(folder.glob("*"))
+    found = hnsw.neighbours(df, "id", "e", k=3, dim=64, least=0.2).toPandas()
+    written = sum(f.stat().st_size for d in set(folder.glob("*")) - before for f in d.glob("*.parquet"))
+    assert written < 0.5 * x.nbytes  # normalised floats don't compress, and were written twice
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -3)
+    want = {(i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i])[:3] if s[i, j] >= 0.2}
+    assert len(want & set(zip(found["id"], found["neighbour"]))) >= 0.995 * len(want) and found["similarity"].min() >= 0.2
+
+
+def test_equal_vectors_answer_with_the_smaller_keys(spark):
+    df = spark.createDataFrame([(i, [3.0, 1 / 3, 0.1]) for i in range(40)], "id long, e array<double>")
+    found = {}
+    for r in hnsw.neighbours(df, "id", "e", k=4, dim=3).collect():
+        found.setdefault(r["id"], []).append(r["neighbour"])
+    assert {i: sorted(v) for i, v in found.items()} == {i: [j for j in range(5) if j != i][:4] for i in range(40)}
+
+
 def test_blocks_of_queries_and_recall_of_a_run(spark, monkeypatch):
     rng = np.random.default_rng(8)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=12)]) for i in range(300)], "id long, e array<float>")

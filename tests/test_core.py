@@ -169,6 +169,18 @@ def test_guard_leaks_nothing(spark, data):
     assert all(r["query"] != r["candidate"] for r in got)
 
 
+def test_modes_in_one_pass_and_every_block_a_task(spark, data, monkeypatch):
+    feats = matching.features(catalog.products(spark, data), catalog.vectors(spark, data)).cache()
+    modes = matching.Options(k=5), matching.Options(k=5, guard=False)
+    n = feats.count()
+    shown = lambda df: rows(df.select("query", "candidate", "score", "rank"))
+    alone = [shown(matching.competitors(feats, feats, o)) for o in modes]
+    monkeypatch.setattr(matching, "tasks", lambda *_: (-(-n // 3), 1))
+    both = matching.competitors_by_mode(feats, feats, *modes).cache()
+    assert [shown(both.where(F.col("mode") == m)) for m in (0, 1)] == alone
+    assert matching._scored(feats, feats, modes)[0].rdd.getNumPartitions() == 3
+
+
 def test_document_and_fingerprint(spark, data):
     docs = matching.product_document(catalog.products(spark, data))
     a = matching.fingerprint(docs, "m").first()

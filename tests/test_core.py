@@ -7,6 +7,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,45 @@ def test_modes_in_one_pass_and_every_block_a_task(spark, data, monkeypatch):
     assert matching._scored(feats, feats, modes)[0].rdd.getNumPartitions() == 3
 
 
+@pytest.mark.parametrize("o", [matching.Options(per_brand=None), matching.Options(guard=False, per_brand=None), matching.Options(priced_only=True, same_brand=False, per_brand=None)])
+def test_few_pairs_are_scored_twice_and_none_of_the_best_is_lost(monkeypatch, o):
+    r, n, size = np.random.default_rng(3), 6000, 40
+    unknown = lambda x: np.where(r.random(n) < 0.3, np.nan, x)
+    x = r.standard_normal((n, 16))
+    c = pd.DataFrame({"parent_asin": [f"p{i:05}" for i in range(n)], "brand": r.choice(list("abcd"), n), "segment": r.choice(["gaming", "budget", "chromebook", "odd"], n), "estimate": np.round(r.uniform(100, 900, n), 1), "observed": r.random(n) < 0.7})
+    c["embedding"], c["sig"] = list(x / np.linalg.norm(x, axis=1)[:, None]), r.choice(["", "s", "t", "u"], n)
+    for name, *_ in matching.FEATURES:
+        c[f"f_{name}"] = unknown(np.round(r.random(n), 2))
+    c.loc[1, "estimate"] = c.loc[0, "estimate"] * o.band  # at the edge of the band
+    near = {(s, s): 1.0 for s in ("gaming", "budget", "chromebook")} | {("gaming", "budget"): 0.3, ("budget", "gaming"): 0.3}
+    q = c.iloc[:20].reset_index(drop=True)
+    scored, exact = [], matching.spec_of_pairs
+    monkeypatch.setattr(matching, "spec_of_pairs", lambda a, i, b, j: scored.append(len(i)) or exact(a, i, b, j))
+    block = matching._Block(q, near, (o,), [size])
+    for start in range(0, n, 2500):
+        block.meet(c.iloc[start : start + 2500])
+    got = pd.concat(block.result(False))
+    assert sum(scored) < 0.2 * len(q) * n
+
+    (v, f), (w, g) = matching._arrays(q), matching._arrays(c)
+    kin = np.array([[near.get((a, b), np.nan if o.guard else 0.5) for b in c["segment"]] for a in q["segment"]])
+    ratio = c["estimate"].to_numpy()[None, :] / q["estimate"].to_numpy()[:, None]
+    score = o.text_weight * (v @ w.T) + (1 - o.text_weight) * matching.spec_similarity(f, g)
+    ok = (q["parent_asin"].to_numpy()[:, None] != c["parent_asin"].to_numpy()) & ((q["sig"].to_numpy()[:, None] == "") | (q["sig"].to_numpy()[:, None] != c["sig"].to_numpy()))
+    if o.guard:
+        seen = q["observed"].to_numpy()[:, None] & c["observed"].to_numpy()
+        ok &= (kin >= o.min_affinity) & (np.abs(np.log(ratio)) <= np.where(seen, np.log(o.band), np.log(2 * o.band)))
+        score = score - o.segment_penalty * (1 - kin) - o.price_penalty * np.minimum(1, np.abs(ratio - 1))
+    if o.priced_only:
+        ok &= c["observed"].to_numpy()
+    if o.same_brand is not None:
+        ok &= (q["brand"].to_numpy()[:, None] == c["brand"].to_numpy()) == o.same_brand
+    for i in range(len(q)):
+        best = sorted((-round(score[i, j], 6), c["parent_asin"][j]) for j in np.flatnonzero(ok[i]))[:size]
+        mine = got[got["query"] == q["parent_asin"][i]]
+        assert sorted(zip(-mine["score"], mine["candidate"])) == best
+
+
 def test_document_and_fingerprint(spark, data):
     docs = matching.product_document(catalog.products(spark, data))
     a = matching.fingerprint(docs, "m").first()

@@ -20,8 +20,8 @@ Defined cases: a null, empty or wordless title matches nothing; null brand means
 that repeats, the latest row counts; very long titles are read whole; listings that are equal in words, maker and sizes are one for the search and a star beside it; an empty table gives no rows;
 extra columns aren't read.
 
-Scale: encoding is a map; the table (8 MB in half precision) and the centroids are fixed-size broadcasts. Search shuffles ``probes + 1`` vectors a listing.
-A list larger than ``LIST_ROWS`` is split into a grid of blocks, so a hot cell becomes many tasks. Vetoes act inside the search, before anything is emitted, and what a task emits grows with its
+Scale: encoding is a map; the table (8 MB in half precision) and the centroids are fixed-size broadcasts. Search shuffles a listing's vector once and once for each of its identifiers, and ``probes`` times
+where it has none; tables that nothing reads any more are removed. A list or identifier larger than ``LIST_ROWS`` is split into a grid of blocks, so a hot cell becomes many tasks. Vetoes act inside the search, before anything is emitted, and what a task emits grows with its
 listings. Identifiers and copies that many listings hold are joined by broadcast, samples are drawn by hash thresholds.
 """
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from cataloom.llm.canonical import Dictionary, compact, fold
 from cataloom.llm.hnsw import fit_centroids
 from cataloom.operators.components import components
-from cataloom.session import drawn, join_hot, latest, staged
+from cataloom.session import discard, drawn, join_hot, latest, staged
 
 #: Rows of the embedding table: the first WORD_ROWS for words, makers and sizes, the others for codes and part numbers.
 FEATURES, WORD_ROWS, WIDTH = 1 << 16, 1 << 14, 64
@@ -53,6 +53,7 @@ WORD_WEIGHT, CODE_WEIGHT = 0.5, 2.0
 TRAIN_ROWS, STEPS, BATCH, RATE, TEMPERATURE = 12_000, 80, 384, 0.3, 0.1
 GROUP_ROWS = 8  # listings of one code and sizes in the sample, so that a hot group doesn't fill it
 LIST_AIM, LIST_ROWS, MAX_LISTS = 1500, 4000, 4096
+PART_ROWS = 50_000  # listings of a task that compares those of shared identifiers
 FIRST_LISTS = 32  # nearest lists kept of each listing; more where the tuning needs them
 TUNED_RECALL, TUNE_QUERIES, SPARE_PROBES = 0.9995, 1000, 4
 SIMILARITY, ALIKE, BLIND = 0.2, 0.5, 0.9
@@ -335,6 +336,23 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
 
 
+def _within(rows: np.ndarray, start: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of ``rows`` within the runs that ``start`` bounds, about ``most`` at a time."""
+    count = np.diff(start)
+    for m in np.unique(count[count > 1]):
+        first = start[:-1][count == m]
+        if m * (m - 1) // 2 <= most:
+            x, y = np.triu_indices(m, 1)
+            for k in range(0, len(first), step := max(1, most // len(x))):
+                at = first[k : k + step, None]
+                yield rows[(at + x).ravel()], rows[(at + y).ravel()]
+        else:
+            for at in first:
+                for x in range(0, m, step := max(1, most // m)):
+                    i, j = np.meshgrid(np.arange(x, min(x + step, m)), np.arange(x, m), indexing="ij")
+                    yield rows[at + i[i < j]], rows[at + j[i < j]]
+
+
 def _vectors(bytes_column) -> np.ndarray:
     return np.frombuffer(b"".join(bytes_column), "<f2").reshape(-1, WIDTH).astype(np.float32)
 
@@ -347,12 +365,14 @@ class SameProduct:
         self.key = key
         self.kind = df.schema[key].dataType.simpleString()
         rows = latest(df, key, order, ["title", "brand", "ram_gb", "storage_gb"])
-        read = staged(self._read(rows, reference), "listings-read").where("ram > 0 AND storage > 0")
+        whole = staged(self._read(rows, reference), "listings-read", "zstd")
+        read = whole.where("ram > 0 AND storage > 0")
         # equal listings are one for the search, and a star beside it
         copies = read.groupBy("copy").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         stars = join_hot(read.select("copy", F.col(key).alias("b")), copies, ["copy"], F.col("n") > F.lit(max(1000, int(HOT * read.count())))).where("b <> first").select(F.col("first").alias("a"), "b")
         stars = staged(stars, "listings-copies")
-        listings = staged(self._named(read.join(stars.select(F.col("b").alias(key)), key, "left_anti")), "listings-evidence")
+        listings = staged(self._named(read.join(stars.select(F.col("b").alias(key)), key, "left_anti")), "listings-evidence", "zstd")
+        discard(whole)
         n = listings.count()
         frequency = listings.select(F.explode("features").alias("f")).groupBy("f").count().toPandas()  # at most FEATURES rows
         counts = np.zeros(FEATURES, np.int64)
@@ -379,8 +399,11 @@ class SameProduct:
             self.probes, self.recall = self._tuned(placed, most, n) if probes is None else (min(probes, most), None)
             if self.recall is None or self.recall >= TUNED_RECALL or most >= len(centres):
                 break
+            discard(placed)
             most = min(4 * most, len(centres))
+        discard(listings)
         self.links = staged(self._search(placed, self.probes).unionByName(stars), "listings-links")
+        discard(placed)
 
     def _read(self, rows: DataFrame, reference: DataFrame) -> DataFrame:
         """(key, maker, unbroken, broken, ram, storage, copy, features)."""
@@ -465,13 +488,50 @@ class SameProduct:
         return probes, float(share[probes - 1]) if by_rank.sum() else 1.0
 
     def _search(self, placed: DataFrame, probes: int) -> DataFrame:
-        """(a, b): in each block of a list a star for each group that its mutual, compatible pairs form."""
-        key = self.key
+        """(a, b): stars for the groups that mutual, compatible pairs form. Two listings that both have identifiers are compatible only if they share one, so these meet where they
+        share it, and only the others ask in their lists: few vectors move more than once."""
         placed = placed.withColumn("lists", F.slice("lists", 1, probes)).withColumn("home", F.col("lists")[0])
+        return self._by_identifier(placed).unionByName(self._by_lists(placed)).distinct()
+
+    def _by_identifier(self, placed: DataFrame) -> DataFrame:
+        """Pairs that share an identifier; one that many listings hold is a triangular grid of blocks."""
+        key, cell = self.key, ["ram", "storage", "id"]
+        held = placed.where("size(ids) > 0").withColumn("id", F.explode("ids"))
+        # few: each holds more than LIST_ROWS listings
+        hot = F.broadcast(held.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("side")).where("side > 1"))
+        held = held.join(hot, cell, "left").withColumn("side", F.coalesce("side", F.lit(1)))
+        held = held.withColumn("i", F.pmod(F.xxhash64(key), F.col("side")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+        met = F.xxhash64(*cell, F.least("i", "j"), F.greatest("i", "j"))
+        parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // PART_ROWS + 1)
+
+        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+            met, order = np.unique(pdf["met"].to_numpy(), return_inverse=True)
+            rows = np.argsort(order, kind="stable")
+            start = np.searchsorted(order[rows], np.arange(len(met) + 1))
+            v, maker, home, lists = _vectors(pdf["v"]), pdf["maker"].to_numpy(), pdf["home"].to_numpy(), np.stack(pdf["lists"])
+            keys, node = np.unique(pdf[key].to_numpy(), return_inverse=True)
+            label = np.arange(len(keys))
+            for i, j in _within(rows, start):
+                same = (maker[i] == maker[j]) | (maker[i] < 0) | (maker[j] < 0)
+                i, j = i[same & (node[i] != node[j])], j[same & (node[i] != node[j])]
+                mutual = (lists[i] == home[j, None]).any(1) & (lists[j] == home[i, None]).any(1)
+                i, j = i[mutual], j[mutual]
+                near = np.einsum("ij,ij->i", v[i], v[j]) >= SIMILARITY
+                merge(label, node[i[near]], node[j[near]])
+            apart = np.flatnonzero(label != np.arange(len(keys)))
+            return pd.DataFrame({"a": keys[label[apart]], "b": keys[apart]})
+
+        columns = [F.pmod(met, F.lit(parts)).alias("part"), met.alias("met"), key, "maker", "v", "lists", "home"]
+        return held.select(*columns).groupBy("part").applyInPandas(scan, f"a {self.kind}, b {self.kind}")
+
+    def _by_lists(self, placed: DataFrame) -> DataFrame:
+        """Pairs of which one has no identifier: it asks in its ``probes`` nearest lists."""
+        key = self.key
         cell = ["ram", "storage", "list"]
+        asking = placed.where("named = 0").withColumn("list", F.explode("lists"))
         sizes = placed.withColumn("list", F.col("home")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("stored_blocks"))
-        asks = placed.withColumn("list", F.explode("lists")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / (4 * LIST_ROWS)).cast("int").alias("asked_blocks"))
-        grid = sizes.join(asks, cell)  # a row per list; the planner broadcasts it while it is small
+        asks = asking.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / (4 * LIST_ROWS)).cast("int").alias("asked_blocks"))
+        grid = sizes.join(asks, cell)  # a row per list that is asked; the planner broadcasts it while it is small
         columns = [key, "ids", "maybe", *_COLUMNS, "v", "lists", "home"]
         # a list is a grid of stored by asking blocks
         stored = (
@@ -480,12 +540,7 @@ class SameProduct:
             .withColumn("i", F.pmod(F.xxhash64(key), F.col("stored_blocks")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asked_blocks") - 1)))
         )
-        asked = (
-            placed.withColumn("list", F.explode("lists"))
-            .join(grid, cell)
-            .withColumn("j", F.pmod(F.xxhash64(key), F.col("asked_blocks")).cast("int"))
-            .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1)))
-        )
+        asked = asking.join(grid, cell).withColumn("j", F.pmod(F.xxhash64(key), F.col("asked_blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1)))
         both = stored.select("list", "i", "j", *columns, F.lit(True).alias("is_stored")).unionByName(asked.select("list", "i", "j", *columns, F.lit(False).alias("is_stored")))
 
         def scan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -507,7 +562,7 @@ class SameProduct:
             apart = np.flatnonzero(label != np.arange(len(keys)))
             return pd.DataFrame({"a": keys[label[apart]], "b": keys[apart]})
 
-        return both.groupBy(*cell, "i", "j").applyInPandas(scan, f"a {self.kind}, b {self.kind}").distinct()
+        return both.groupBy(*cell, "i", "j").applyInPandas(scan, f"a {self.kind}, b {self.kind}")
 
     def groups(self) -> DataFrame:
         """(key, group_id) of each listing that has a partner."""

@@ -259,6 +259,44 @@ def test_same_product(spark):
     assert listings.SameProduct(df.where("false"), "parent_asin", "loaded_at", ref).pairs().count() == 0
 
 
+def test_listings_search_moves_few_vectors_and_finds_every_mutual_pair(spark, monkeypatch):
+    monkeypatch.setattr(listings, "LIST_ROWS", 5)  # one identifier and some lists become grids
+    r, n = np.random.default_rng(4), 90
+    x = r.standard_normal((n, listings.WIDTH)) * 0.5 + r.standard_normal((3, listings.WIDTH))[r.integers(0, 3, n)]
+    v = (x / np.linalg.norm(x, axis=1)[:, None]).astype("<f2")
+    ids = [[] if i % 4 == 0 else [7] if i % 4 == 1 else sorted({int(c) for c in r.integers(10, 22, 2)}) for i in range(n)]
+    lists = [[int(c) for c in r.permutation(4)[:2]] for _ in range(n)]
+    data = [(f"k{i:02}", ids[i], ids[i] or [int(r.integers(10, 22))], int(r.integers(-1, 2)), int(bool(ids[i])), 8, int(r.integers(1, 3)), bytearray(v[i].tobytes()), lists[i]) for i in range(n)]
+    placed = spark.createDataFrame(data, "key string, ids array<long>, maybe array<long>, maker long, named int, ram int, storage int, v binary, lists array<int>")
+    search = object.__new__(listings.SameProduct)
+    search.key, search.kind = "key", "string"
+    pdf = placed.toPandas()
+    sides = listings.facts(pdf)
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+    mutual = np.array([lists[a][0] in lists[b] and lists[b][0] in lists[a] for a, b in zip(i, j)])
+    near = (v.astype(np.float32) @ v.astype(np.float32).T)[i, j]
+    ok = (i != j) & mutual & (near >= listings.SIMILARITY)
+    ok[ok] = listings.compatible(sides, i[ok], sides, j[ok], near[ok])
+    label = np.arange(n)
+    listings.merge(label, i[ok], j[ok])
+    links = search._search(placed, 2).collect()
+    got = np.arange(n)
+    listings.merge(got, np.array([int(x.a[1:]) for x in links]), np.array([int(x.b[1:]) for x in links]))
+    assert ok.sum() > 40 and (got == label).all()
+    assert any(named == 0 for named in sides["named"][i[ok]])
+    assert search._by_lists(placed.withColumn("home", F.col("lists")[0]).where("named = 1")).count() == 0  # these ask in no list
+
+
+def test_listings_leave_no_table_that_nothing_reads(spark, data):
+    from cataloom.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "cataloom"
+    before = {x.name for x in folder.iterdir()} if folder.exists() else set()
+    found = listings.SameProduct(table(spark, data, "products"), "parent_asin", "loaded_at", table(spark, data, "canonical_values"))
+    left = {x.name.rpartition("-")[0] for x in folder.iterdir() if x.name not in before}
+    assert found.links.count() and not left & {"listings-read", "listings-evidence", "listings-placed"}
+
+
 # ---------------------------------------------------------------- 5 near duplicates
 
 

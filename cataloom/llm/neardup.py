@@ -8,7 +8,7 @@ space exactly, and the windows are bounds on the symmetric difference, itself a
 1. A bounded table of counts (2**20 to 2**24 cells by the length of all texts, summed over all texts) orders the shingles from rare to common, ties by hash.
 2. Two sets of Jaccard similarity t share one of the first ``n - ceil(t n) + 1`` shingles of each in that order; each text is replicated to
    the regions of those shingles and to no others.
-3. Inside a region, pairs must pass the length, the position and the sketch window: a parity sketch of 128 or 256 bits changes by at most one
+3. Inside a region, entries are ordered by length and meet only those that their length and position leave; pairs must pass the length, the position and the sketch window: a parity sketch of 128 or 256 bits changes by at most one
    bit per differing shingle, so two texts whose sketches differ in more bits than the largest allowed symmetric difference are no pair.
    A region's pairs are compared in vectorised blocks; the region of a shingle counted more than ``HOT`` times (four times the mean of a cell where that is more) is split into a triangular
    grid of block pairs, each a region of its own, so a hot region becomes many tasks and still meets every pair once.
@@ -304,6 +304,15 @@ def window(i: np.ndarray, j: np.ndarray, pi: np.ndarray, pj: np.ndarray, n: np.n
     return at[~both | (differ <= most)]
 
 
+def partners(region: np.ndarray, size: np.ndarray, position: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, count) of the later entries that each may be a pair with, of entries in the order of region and size: those that aren't too long for what follows its position."""
+    longest = np.floor((size - position) * ((1 + threshold) / threshold) + 1e-6).astype(np.int64) - size
+    key = region.astype(np.uint64) << np.uint64(32)
+    end = np.searchsorted(key | size.astype(np.uint64), key | np.clip(longest, 0, 2**32 - 1).astype(np.uint64), "right")
+    first = np.arange(len(size)) + 1
+    return first, np.maximum(end - first, 0)
+
+
 def region_pairs(blobs: list[bytes], threshold: float, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) class ids, a < b, distinct, of the pairs that pass the windows in any region of a part."""
     ids, n, narrow, wide, region, text, position = unpack(blobs)
@@ -316,9 +325,8 @@ def region_pairs(blobs: list[bytes], threshold: float, chunk: int = 2_000_000) -
     order = np.argsort(key, kind="stable")
     key = key[order]
     order = order[np.r_[True, key[1:] != key[:-1]]] if len(key) else order
+    order = order[np.lexsort((n[text[order]], region[order]))]
     region, text, position = region[order], text[order], position[order].astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True]) if len(region) else np.zeros(1, np.int64)
-    start, count = edge[:-1], np.diff(edge)
     found: list[np.ndarray] = []
 
     def test(left: np.ndarray, right: np.ndarray) -> None:
@@ -328,23 +336,14 @@ def region_pairs(blobs: list[bytes], threshold: float, chunk: int = 2_000_000) -
             a, b = ids[i[ok]], ids[j[ok]]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
 
-    for m in np.unique(count[count > 1]):
-        starts = start[count == m]
-        pairs = int(m) * (int(m) - 1) // 2
-        if pairs <= chunk:
-            x, y = np.triu_indices(int(m), 1)
-            step = max(1, chunk // pairs)
-            for k in range(0, len(starts), step):
-                s = starts[k : k + step, None]
-                test((s + x).ravel(), (s + y).ravel())
-        else:
-            side = int(chunk**0.5)
-            for s in starts:
-                for p in range(0, int(m), side):
-                    for q in range(p, int(m), side):
-                        x, y = np.meshgrid(np.arange(p, min(p + side, int(m))), np.arange(q, min(q + side, int(m))), indexing="ij")
-                        keep = x < y
-                        test(s + x[keep], s + y[keep])
+    first, reach = partners(region, n[text], position, threshold)
+    before = np.r_[0, np.cumsum(reach)]
+    at = 0
+    while at < len(reach):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + chunk, "right")) - 1)
+        left = np.repeat(np.arange(at, to), reach[at:to])
+        test(left, np.arange(len(left)) - np.repeat(before[at:to] - before[at], reach[at:to]) + np.repeat(first[at:to], reach[at:to]))
+        at = to
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.unique(np.concatenate(found), axis=0)

@@ -362,6 +362,24 @@ def test_sketch_never_differs_more_than_the_sets(a, b):
     assert np.bitwise_count(s[0] ^ s[1]).sum() <= differ and np.bitwise_count(narrow[0] ^ narrow[1]).sum() <= differ
 
 
+def test_region_entries_meet_only_what_length_and_position_leave(monkeypatch):
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 90, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in r.integers(10, 120, 150)]
+    sets += [np.unique(np.r_[s[2:], s[:1] + np.uint64(1)]) for s in sets[:40]]
+    start, h = np.r_[0, np.cumsum([len(s) for s in sets])], np.concatenate(sets)
+    ids, size = neardup.class_ids(start, h), np.diff(start)
+    cells = np.bincount(neardup.cell(h, 1 << 12), minlength=1 << 12).astype(np.uint32)
+    owner, position, shingle = neardup.replicas(start, h, cells, 0.6)
+    blobs = [b for _, b in neardup.pack(owner, position, shingle, np.zeros(len(owner), np.int64), ids, size, neardup.sketches(start, h))]
+    tested, window = [], neardup.window
+    monkeypatch.setattr(neardup, "window", lambda i, *rest: tested.append(len(i)) or window(i, *rest))
+    a, b = neardup.region_pairs(blobs, 0.6, chunk=500)
+    _, count = np.unique(shingle.astype(np.uint32), return_counts=True)
+    assert max(tested) < 1000 and sum(tested) < 0.6 * (count * (count - 1) // 2).sum()
+    alike = {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))}
+    assert len(alike) >= 30 and alike <= set(zip(a.tolist(), b.tolist()))
+
+
 # ---------------------------------------------------------------- 6 canonical values
 
 ENTRIES = [(1, "brand", "Kestova", 5), (2, "brand", "Marrow & Pine", 1), (3, "brand", "Orbis Nine", 1), (4, "cpu_family", "Zentor 7", 1), (5, "cpu_family", "Zentor 7 Pro", 1), (6, "gpu_model", "GTR 3050", 1), (7, "gpu_model", "GTR 3050 Ti", 1), (8, "cpu_family", "Cortane C5", 1)]

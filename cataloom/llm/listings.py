@@ -353,6 +353,12 @@ def _within(rows: np.ndarray, start: np.ndarray, most: int = 1_000_000) -> Itera
                     yield rows[at + i[i < j]], rows[at + j[i < j]]
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, rows: int) -> DataFrame:
+    """Inner equi-join with a staged ``right``; keys that many of the ``rows`` hold, if there are any, meet by broadcast."""
+    hot = F.col("n") > F.lit(max(1000, int(HOT * rows)))
+    return left.join(right, on) if right.where(hot).isEmpty() else join_hot(left, right, [on], hot)
+
+
 def _vectors(bytes_column) -> np.ndarray:
     return np.frombuffer(b"".join(bytes_column), "<f2").reshape(-1, WIDTH).astype(np.float32)
 
@@ -368,12 +374,15 @@ class SameProduct:
         whole = staged(self._read(rows, reference), "listings-read", "zstd")
         read = whole.where("ram > 0 AND storage > 0")
         # equal listings are one for the search, and a star beside it
-        copies = read.groupBy("copy").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        stars = join_hot(read.select("copy", F.col(key).alias("b")), copies, ["copy"], F.col("n") > F.lit(max(1000, int(HOT * read.count())))).where("b <> first").select(F.col("first").alias("a"), "b")
-        stars = staged(stars, "listings-copies")
-        listings = staged(self._named(read.join(stars.select(F.col("b").alias(key)), key, "left_anti")), "listings-evidence", "zstd")
+        copies = staged(read.groupBy("copy").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "listings-equal")
+        stars = staged(_met(read.select("copy", F.col(key).alias("b")), copies, "copy", read.count()).where("b <> first").select(F.col("first").alias("a"), "b"), "listings-copies")
+        discard(copies)
+        # written, as the evidence reads them more than once
+        single = staged(read.join(stars.select(F.col("b").alias(key)), key, "left_anti"), "listings-single", "zstd")
         discard(whole)
-        n = listings.count()
+        n = single.count()
+        listings = staged(self._named(single, n), "listings-evidence", "zstd")
+        discard(single)
         frequency = listings.select(F.explode("features").alias("f")).groupBy("f").count().toPandas()  # at most FEATURES rows
         counts = np.zeros(FEATURES, np.int64)
         counts[frequency["f"].to_numpy(dtype=np.int64)] = frequency["count"].to_numpy(dtype=np.int64)
@@ -382,6 +391,7 @@ class SameProduct:
         lists = int(min(MAX_LISTS, max(1, round(largest / LIST_AIM))))
         table, centres = _fitted(listings, key, counts, n, lists)
         model = spark.sparkContext.broadcast((table, centres))
+        del table  # the driver keeps no copy of its own
         most = min(max(FIRST_LISTS, probes or 0), max(1, len(centres)))
         passed = [key, "ids", "maybe", *_COLUMNS]
 
@@ -401,6 +411,7 @@ class SameProduct:
                 break
             discard(placed)
             most = min(4 * most, len(centres))
+        model.destroy()
         discard(listings)
         self.links = staged(self._search(placed, self.probes).unionByName(stars), "listings-links")
         discard(placed)
@@ -429,17 +440,17 @@ class SameProduct:
 
         return rows.mapInArrow(read, schema)
 
-    def _named(self, read: DataFrame) -> DataFrame:
-        """``read`` with ids (identifiers that other listings share and the collection bears out), named (1 where any unbroken run may be one) and the features of what several listings hold."""
+    def _named(self, read: DataFrame, n: int) -> DataFrame:
+        """The ``n`` rows of ``read`` with ids (identifiers that other listings share and the collection bears out), named (1 where any unbroken run may be one) and the features of what several listings hold."""
         key = self.key
-        each = lambda column, firm: read.select(F.explode(column).alias("id"), key, "maker", F.lit(firm).alias("firm"))
-        held = each("unbroken", 1).unionByName(each("broken", 0))
+        each = lambda column, firm: F.transform(column, lambda c: F.struct(c.alias("id"), F.lit(firm).alias("firm")))
+        held = read.select(key, "maker", F.explode(F.concat(each("unbroken", 1), each("broken", 0))).alias("_held")).select("_held.id", key, "maker", "_held.firm")
         by_maker = held.groupBy("id", "maker").agg(F.count(F.lit(1)).alias("n"), F.sum("firm").alias("firm"))
         known = F.when(F.col("maker") >= 0, F.col("n"))
         ids = by_maker.groupBy("id").agg(F.sum("n").alias("n"), F.sum("firm").alias("firm"), F.sum(known).alias("known"), F.max(known).alias("top"))
         good = F.coalesce(F.col("top") >= ONE_MAKER * F.col("known"), F.lit(True))
         ids = staged(ids.where(good & (F.col("n") > 1)).select("id", "n", (F.col("firm") > 0).alias("firm")), "listings-identifiers")
-        own = join_hot(held.select("id", key), ids, ["id"], F.col("n") > F.lit(max(1000, int(HOT * read.count()))))
+        own = _met(held.select("id", key), ids, "id", n)
         # a title's own
         shared = own.groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("codes"), F.array_sort(F.collect_set(F.when(F.col("firm"), F.xxhash64("id")))).alias("ids"))
         out = read.join(shared, key, "left").withColumns({"codes": F.coalesce("codes", F.array().cast("array<string>")), "ids": F.coalesce("ids", F.array().cast("array<long>"))})
@@ -529,9 +540,10 @@ class SameProduct:
         key = self.key
         cell = ["ram", "storage", "list"]
         asking = placed.where("named = 0").withColumn("list", F.explode("lists"))
-        sizes = placed.withColumn("list", F.col("home")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("stored_blocks"))
-        asks = asking.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / (4 * LIST_ROWS)).cast("int").alias("asked_blocks"))
-        grid = sizes.join(asks, cell)  # a row per list that is asked; the planner broadcasts it while it is small
+        # a row per list that is asked; the planner broadcasts it while it is small
+        both = placed.select(*cell[:2], F.col("home").alias("list"), F.lit(1).alias("stored"), F.lit(0).alias("asked")).unionByName(asking.select(*cell, F.lit(0).alias("stored"), F.lit(1).alias("asked")))
+        blocks = [F.ceil(F.sum(c) / most).cast("int").alias(f"{c}_blocks") for c, most in (("stored", LIST_ROWS), ("asked", 4 * LIST_ROWS))]
+        grid = both.groupBy(*cell).agg(*blocks).where("stored_blocks > 0 AND asked_blocks > 0")
         columns = [key, "ids", "maybe", *_COLUMNS, "v", "lists", "home"]
         # a list is a grid of stored by asking blocks
         stored = (

@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from cataloom.session import staged
 
 
+def _each(edges: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """(a, b) from each of ``ends`` of every edge, in one pass: a union would plan, for each of its sides, all that the edges come from."""
+    pairs = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ends])
+    return edges.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _each(edges, ("a", "b"), ("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
@@ -26,21 +32,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     # edges point from the greater to the smaller end
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
-    moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    return _each(down.join(least, "a"), ("b", "m"), ("a", "m")).where("a <> b").distinct()
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Whether every node has one parent at most and no parent has one: then each star is a component. Edges point to the smaller end."""
-    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    up, down = [F.struct(F.col(c).alias("id"), F.lit(up).alias("up"), F.lit(1 - up).alias("down")) for c, up in (("a", 1), ("b", 0))]
+    ends = edges.select(F.explode(F.array(up, down)).alias("e")).select("e.*")
     return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
     """(id, component) of every node that an edge names."""
     raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    nodes = raw.select(F.col("a").alias("id")).unionByName(raw.select(F.col("b").alias("id"))).distinct()
+    nodes = raw.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     current = staged(raw.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     for _ in range(max_rounds):
         if _is_forest_of_stars(current):

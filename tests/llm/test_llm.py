@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from cataloom.llm import bpe, canonical, hnsw, leakage, listings, neardup, percentiles, stuffing
 from cataloom.llm.words import Hasher, plain_words, shingles
-from cataloom.session import table
+from cataloom.operators import components as stars
+from cataloom.session import staged, table
 
 TOKENIZERS = Path("/opt/tokenizers")
 
@@ -297,6 +298,26 @@ def test_listings_leave_no_table_that_nothing_reads(spark, data):
     assert found.links.count() and not left & {"listings-read", "listings-evidence", "listings-placed"}
 
 
+def test_listings_plans_read_no_table_again_for_each_side(spark, data, monkeypatch):
+    reads = defaultdict(int)  # the driver holds each plan, and again for each of its stages
+
+    def counted(df, name, *compression):
+        reads[name] = max(reads[name], df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return staged(df, name, *compression)
+
+    for module in (listings, stars):
+        monkeypatch.setattr(module, "staged", counted)
+    assert listings.SameProduct(table(spark, data, "products"), "parent_asin", "loaded_at", table(spark, data, "canonical_values")).pairs().count()
+    assert max(reads[n] for n in ("listings-copies", "listings-single", "listings-identifiers", "listings-evidence", "components")) <= 4, dict(reads)
+
+
+def test_listings_meet_hot_keys_as_others(spark):
+    left = spark.range(3000).select((F.col("id") % 7).alias("k"), "id")
+    for n in (5, 1001):
+        right = spark.createDataFrame([(0, n), (3, 2), (9, n)], "k long, n long")
+        assert sorted(map(tuple, listings._met(left, right, "k", 3000).collect())) == [(k, i, n if k == 0 else 2) for k in (0, 3) for i in range(k, 3000, 7)]
+
+
 # ---------------------------------------------------------------- 5 near duplicates
 
 
